@@ -11,7 +11,7 @@ from hostwatch.functions.scalars import col
 
 
 def _contains_any(text: Column, words: tuple[str, ...]) -> Column:
-    return text.rlike("|".join(re.escape(w).replace("\\ ", " ") for w in words))
+    return text.rlike("|".join(re.escape(w) for w in words))
 
 
 def label_from_text(c: Column | str, label_set: str = "v2", exclude_non_c2: bool = False) -> Column:
@@ -57,7 +57,8 @@ def family_from_path(c: Column | str, style: str = "regex") -> Column:
 def relative_path(c: Column | str, root: str) -> Column:
     """Path below ``root``, with any scheme prefix dropped."""
     bare = F.regexp_replace(col(c), r"^[a-z0-9]+:/+", "/")
-    base = "/" + re.sub(r"^[a-z0-9]+:/+", "", root).strip("/") + "/"
+    below = re.sub(r"^[a-z0-9]+:/+", "", root).strip("/")
+    base = f"/{below}/" if below else "/"
     return F.when(bare.startswith(base), F.substr(bare, F.lit(len(base) + 1))).otherwise(F.ltrim(F.lit("/"), bare))
 
 

@@ -241,9 +241,9 @@ def zero_flow() -> Column:
 
 def to_padded(sessions: DataFrame, length: int = SESSION_LEN) -> DataFrame:
     """Fixed-length export form: zero rows behind the real ones, ``mask`` true for real rows."""
-    return sessions.withColumns({
-        "mask": F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: i <= F.size("flows")),
-        "flows": F.slice(F.concat("flows", F.array_repeat(zero_flow(), length)), 1, length)})
+    slots = F.sequence(F.lit(1), F.lit(length))
+    out = sessions.withColumn("n_flows", F.size("flows")).withColumn("mask", F.transform(slots, lambda i: i <= F.col("n_flows")))
+    return out.withColumn("flows", F.slice(F.concat("flows", F.array_repeat(zero_flow(), length)), 1, length))
 
 
 def repair_mask(df: DataFrame) -> DataFrame:
