@@ -125,7 +125,7 @@ def a03(spark, sf):
 
 def _digits(name: str) -> int:
     """Enough digits that no mean of at most 20 short decimals ends on a half."""
-    return 5 if name.startswith("iat") or name.endswith("_std") else 9
+    return 5 if name.startswith("iat") or name.endswith("_std") else 7 if name.startswith("bytes") else 9
 
 
 POOLED = [f for f in FEATURES if f not in ("packet_ratio", "byte_ratio")]

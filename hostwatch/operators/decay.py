@@ -39,74 +39,115 @@ def _merge(old: Column, new: Column, decay: float) -> Column:
 
 
 def decayed_stats(df: DataFrame, keys: Sequence[str], number: str, metrics: dict[str, int], decay: float = 0.95,
-                  block: int | None = None) -> DataFrame:
+                  block: int | None = None, longest: int | None = None) -> DataFrame:
     """Add the decayed state of each metric after and before every row.
 
     ``number`` is the 1-based position of the row in its key.  ``metrics`` maps a column to how many
     leading rows of a key have no value in it (0 or 1); other values must not be null.  Per metric m the
     result has ``m_count, m_mean, m_std`` (after the row) and ``m_prev_count, m_prev_mean, m_prev_std``.
+    ``longest`` is the number of rows of the longest key, if known: keys of one block need no merging.
     """
     if not 0.0 < decay < 1.0:
         raise ValueError(f"decay must be in (0, 1), got {decay}")
     size = block or block_length(decay)
-    lookback = max(1, math.ceil(math.log(1e-80) / math.log(decay) / size))
-    keys, names = list(keys), list(metrics)
+    keys = list(keys)
     unit = keys + ["_block"]
+    single = longest is not None and longest <= size
+    rows = df.withColumn("_block", F.floor((F.col(number) - 1) / size))
+    if not single:
+        rows = rows.repartition(*[F.col(c) for c in unit])
+    rows = _shifted(rows, unit, number, metrics, decay, size)
+    entering = None if single else _entering_states(rows, keys, metrics, decay, size)
 
-    k = F.pmod(F.col(number) - 1, F.lit(size))
-    rows = (df.withColumn("_block", F.floor((F.col(number) - 1) / size))
-            .repartition(*[F.col(c) for c in unit]))
     running = Window.partitionBy(*unit).orderBy(number).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    grow, shrink = F.pow(F.lit(decay), -k), F.pow(F.lit(decay), k)
-    rows = rows.withColumns({f"_f_{m}": F.first(m, ignorenulls=True).over(running) for m in names})
-
-    def weighted(m: str, power: int) -> Column:
-        shifted = F.col(m) - F.col(f"_f_{m}")
-        term = F.when(F.col(m).isNotNull(), grow * (shifted if power == 1 else shifted * shifted if power == 2 else 1.0))
-        return F.coalesce(F.sum(term).over(running), F.lit(0.0)) * shrink
-
-    sums: dict[str, Column] = {}
-    for m in names:
-        for p in (0, 1, 2):
-            sums[f"_s{p}_{m}"] = weighted(m, p)
-        sums[f"_c_{m}"] = F.count(m).over(running)
-    rows = rows.withColumns(sums)
-
-    def local(m: str) -> Column:
-        w, s1, s2 = (F.col(f"_s{p}_{m}") for p in (0, 1, 2))
-        return F.when(w > 0, F.struct(
-            w.alias("w"), (s1 / w + F.col(f"_f_{m}")).alias("mean"),
-            F.greatest(s2 - s1 * s1 / w, F.lit(0.0)).alias("m2"), F.col(f"_c_{m}").cast("double").alias("cnt")))
-
-    rows = rows.withColumns({f"_b_{m}": local(m) for m in names}).drop(
-        *sums, *[f"_f_{m}" for m in names])
-
-    carried = _entering_states(rows, keys, number, names, decay, size, lookback)
-    rows = rows.join(carried, unit, "left")
-    rows = rows.withColumns({f"_a_{m}": F.when(F.col(f"_in_{m}").isNull(), F.col(f"_b_{m}"))
-                            .when(F.col(f"_b_{m}").isNull(), F.col(f"_in_{m}"))
-                            .otherwise(_merge(F.col(f"_in_{m}"), F.col(f"_b_{m}"), decay)) for m in names})
+    rows = rows.withColumns({c: F.sum(e).over(running) for m in metrics for c, e in (
+        (f"_s1_{m}", F.col(f"_y_{m}") * F.col("_up")), (f"_s2_{m}", F.col(f"_y_{m}") * F.col(f"_y_{m}") * F.col("_up")))})
+    # State of the block so far.  Weights have a closed form: every row of a block past the leading ones has a value.
+    zero = F.lit(0.0)
+    rows = rows.withColumns({f"_n_{m}": _observed(number, skip, size) for m, skip in metrics.items()})
+    rows = rows.withColumns({f"_w_{m}": _weight(F.col(f"_n_{m}"), decay) for m in metrics})
+    local: dict[str, Column] = {}
+    for m in metrics:
+        w, s1, s2 = F.col(f"_w_{m}"), F.col(f"_s1_{m}") / F.col("_up"), F.col(f"_s2_{m}") / F.col("_up")
+        local[f"_m_{m}"] = F.when(w > 0, s1 / w + F.col(f"_f_{m}"))
+        local[f"_q_{m}"] = F.when(w > 0, F.greatest(s2 - s1 * s1 / w, zero)).otherwise(zero)
+    rows = rows.withColumns(local).drop("_up", *[f"_{c}_{m}" for m in metrics for c in ("s1", "s2", "f", "y")])
+
+    state: dict[str, Column] = {}
+    if single:
+        for m in metrics:
+            state[f"{m}_mean"] = F.coalesce(F.col(f"_m_{m}"), zero)
+            state[f"{m}_std"] = F.when(F.col(f"_w_{m}") > 0, F.sqrt(F.col(f"_q_{m}") / F.col(f"_w_{m}"))).otherwise(zero)
+    else:
+        # Merge with the state that enters the block (weight 0 where there is none).
+        rows = rows.join(entering, unit, "left")
+        rows = rows.withColumns({c: e for m in metrics for c, e in (
+            (f"_d_{m}", F.pow(F.lit(decay), F.col(f"_n_{m}"))),
+            (f"_om_{m}", F.coalesce(F.col(f"_in_{m}.mean"), F.col(f"_m_{m}"), zero)),
+            (f"_nm_{m}", F.coalesce(F.col(f"_m_{m}"), F.col(f"_in_{m}.mean"), zero)))})
+        for m in metrics:
+            old_w = F.coalesce(F.col(f"_in_{m}.w"), zero) * F.col(f"_d_{m}")
+            new_w, delta = F.col(f"_w_{m}"), F.col(f"_nm_{m}") - F.col(f"_om_{m}")
+            total = F.greatest(old_w + new_w, F.lit(1e-300))
+            spread = F.coalesce(F.col(f"_in_{m}.m2"), zero) * F.col(f"_d_{m}") + F.col(f"_q_{m}") + delta * delta * old_w * (new_w / total)
+            state[f"{m}_mean"] = F.col(f"_om_{m}") + delta * (new_w / total)
+            state[f"{m}_std"] = F.when(new_w + old_w > 0, F.sqrt(spread / total)).otherwise(zero)
+    rows = rows.withColumns(state).drop(*[f"_{c}_{m}" for m in metrics for c in ("m", "q", "w", "n", "d", "om", "nm")])
+
+    # The state before a row is the one of the row before it or, at the head of a block, the entering one.
     before = Window.partitionBy(*unit).orderBy(number)
-    rows = rows.withColumns({f"_p_{m}": F.when(F.lag(F.lit(1)).over(before).isNull(), F.col(f"_in_{m}"))
-                            .otherwise(F.lag(f"_a_{m}").over(before)) for m in names})
     final: dict[str, Column] = {}
     for m, skip in metrics.items():
-        for name, state, back in ((m, F.col(f"_a_{m}"), 0), (f"{m}_prev", F.col(f"_p_{m}"), 1)):
-            final[f"{name}_count"] = F.greatest(F.col(number) - skip - back, F.lit(0)).cast("bigint")
-            final[f"{name}_mean"] = F.coalesce(state["mean"], F.lit(0.0))
-            final[f"{name}_std"] = F.coalesce(F.sqrt(F.greatest(state["m2"] / state["w"], F.lit(0.0))), F.lit(0.0))
-    return rows.withColumns(final).drop("_block", *[f"_{t}_{m}" for t in ("b", "in", "a", "p") for m in names])
+        first_mean, first_std = (zero, zero) if single else (
+            F.coalesce(F.col(f"_in_{m}.mean"), zero), F.coalesce(F.sqrt(F.col(f"_in_{m}.m2") / F.col(f"_in_{m}.w")), zero))
+        final[f"{m}_prev_mean"] = F.coalesce(F.lag(f"{m}_mean").over(before), first_mean)
+        final[f"{m}_prev_std"] = F.coalesce(F.lag(f"{m}_std").over(before), first_std)
+        final[f"{m}_count"] = F.greatest(F.col(number) - skip, F.lit(0)).cast("bigint")
+        final[f"{m}_prev_count"] = F.greatest(F.col(number) - skip - 1, F.lit(0)).cast("bigint")
+    return rows.withColumns(final).drop("_block", *[f"_in_{m}" for m in metrics])
+
+
+def _observed(number: str, skip: int, size: int) -> Column:
+    """Values of a metric in the block up to this row."""
+    seen = F.pmod(F.col(number) - 1, F.lit(size)) + 1
+    return (F.when(F.col("_block") == 0, F.greatest(seen - skip, F.lit(0))).otherwise(seen) if skip else seen).cast("double")
+
 
+def _weight(observations: Column, decay: float) -> Column:
+    return (F.lit(1.0) - F.pow(F.lit(decay), observations)) / F.lit(1.0 - decay)
 
-def _entering_states(rows: DataFrame, keys: list[str], number: str, names: list[str], decay: float, size: int,
-                     lookback: int) -> DataFrame:
+
+def _shifted(rows: DataFrame, unit: list[str], number: str, metrics: dict[str, int], decay: float, size: int) -> DataFrame:
+    """Per metric: first value of the block ``_f_m`` and the distance from it ``_y_m``; ``_up`` undoes the decay since then."""
+    w = Window.partitionBy(*unit).orderBy(number).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    full, gappy = [m for m, s in metrics.items() if not s], [m for m, s in metrics.items() if s]
+    rows = rows.withColumn("_head", F.first(F.struct(*full)).over(w)) if full else rows
+    rows = rows.withColumns({f"_f_{m}": F.first(m, ignorenulls=True).over(w) for m in gappy})
+    rows = rows.withColumns({f"_f_{m}": F.col(f"_head.{m}") for m in full})
+    rows = rows.withColumns({f"_y_{m}": F.coalesce(F.col(m) - F.col(f"_f_{m}"), F.lit(0.0)) for m in metrics})
+    return rows.withColumn("_up", F.pow(F.lit(decay), -F.pmod(F.col(number) - 1, F.lit(size)).cast("double"))).drop("_head")
+
+
+def _entering_states(rows: DataFrame, keys: list[str], metrics: dict[str, int], decay: float, size: int) -> DataFrame:
     """Per (key, block): the state left by the earlier blocks.
 
-    Works on one row per full block.  Runs of ``lookback`` blocks are windowed together, each with a copy of
-    the run before it, so no group holds more than two runs.
+    Reduces to one row per full block.  Runs of ``lookback`` blocks are then windowed together, each with a
+    copy of the run before it, so no group holds more than two runs.
     """
-    full = (rows.filter(F.col(number) % size == 0)
-            .select(*keys, "_block", F.array(*[F.col(f"_b_{m}") for m in names]).alias("_state"))
+    lookback = max(1, math.ceil(math.log(1e-80) / math.log(decay) / size))
+    names, top = list(metrics), decay ** (size - 1)
+    sums = rows.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_rows"), *[e for m in names for e in (
+        F.sum(F.col(f"_y_{m}") * F.col("_up")).alias(f"_s1_{m}"), F.max(f"_f_{m}").alias(f"_f_{m}"),
+        F.sum(F.col(f"_y_{m}") * F.col(f"_y_{m}") * F.col("_up")).alias(f"_s2_{m}"))])
+
+    def state(m: str) -> Column:
+        cnt = F.when(F.col("_block") == 0, F.lit(float(size - metrics[m]))).otherwise(F.lit(float(size)))
+        w, s1, s2 = _weight(cnt, decay), F.col(f"_s1_{m}") * top, F.col(f"_s2_{m}") * top
+        return F.struct(w.alias("w"), (s1 / w + F.col(f"_f_{m}")).alias("mean"),
+                        F.greatest(s2 - s1 * s1 / w, F.lit(0.0)).alias("m2"), cnt.alias("cnt"))
+
+    full = (sums.filter(F.col("_rows") == size)
+            .select(*keys, "_block", F.array(*[state(m) for m in names]).alias("_state"))
             .withColumn("_home", F.floor(F.col("_block") / lookback))
             .withColumn("_run", F.explode(F.array(F.col("_home"), F.col("_home") + 1))))
     near = Window.partitionBy(*keys, "_run").orderBy("_block").rowsBetween(1 - lookback, 0)

@@ -144,7 +144,7 @@ def inter_arrival(rows: KeyedRows) -> KeyedRows:
         "iat": F.greatest(F.coalesce(F.col("ts") - F.col("_ts"), zero), zero),
         "byte_delta": F.coalesce(F.col("orig_bytes") - F.col("_bytes"), zero)}).lag(_iat="iat")
     rows = rows.with_columns({"iat_delta": F.coalesce(F.col("iat") - F.col("_iat"), zero)})
-    return KeyedRows(rows.df.drop("_ts", "_bytes", "_iat"), rows.keys, rows.order, rows.sliced)
+    return rows.drop("_ts", "_bytes", "_iat")
 
 
 def with_inter_arrival(df: DataFrame, keys: Sequence[str] = FLOW_KEY, order: Sequence[str] = FLOW_ORDER,

@@ -31,22 +31,26 @@ class KeyedRows:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     sliced: bool
+    largest: int | None = None  # rows of the largest key, where they were counted
 
     @staticmethod
     def plan(df: DataFrame, keys: Sequence[str], order: Sequence[str], time: str | None = None,
              skew: SkewConfig | None = SKEW) -> "KeyedRows":
         keys, order = tuple(keys), tuple(order)
         time = time or order[0]
-        hot = _hot_keys(df, keys, time, skew) if skew is not None else None
+        largest, hot = _hot_keys(df, keys, time, skew) if skew is not None else (None, None)
         if hot is None:
-            return KeyedRows(df, keys, order, False)
+            return KeyedRows(df, keys, order, False, largest)
         before = order[:order.index(time)]
         cell = F.floor((F.col(time) - F.col("_low")) / F.col("_width")).cast("bigint")
         marked = (df.join(F.broadcast(hot), list(keys), "left")
                   .withColumn(SLICE, F.when(F.col("_width").isNotNull(),
                                             F.struct(*[F.col(c) for c in before], cell.alias("_cell"))))
                   .drop("_low", "_width"))
-        return KeyedRows(marked, keys, order, True)
+        return KeyedRows(marked, keys, order, True, largest)
+
+    def drop(self, *names: str) -> "KeyedRows":
+        return replace(self, df=self.df.drop(*names))
 
     # -- windows ------------------------------------------------------------
 
@@ -73,7 +77,7 @@ class KeyedRows:
         joined = replace(local, df=local.df.withColumn("_first", first))._with_border(borders)
         return joined.with_columns({
             out: F.when(F.col("_first") & F.col("_carry").isNotNull(), F.col(f"_carry.{out}"))
-            .otherwise(F.col(out)) for out in columns})._drop("_first", "_carry")
+            .otherwise(F.col(out)) for out in columns}).drop("_first", "_carry")
 
     def running_sum(self, **columns: Column) -> "KeyedRows":
         """Add ``name=expression``: its sum over the rows of the key up to this one."""
@@ -87,7 +91,7 @@ class KeyedRows:
                       for o in columns])))
         local = held.with_columns({o: F.sum(o).over(self._running) for o in columns})
         return local._with_border(totals).with_columns({
-            o: F.col(o) + F.coalesce(F.col(f"_carry.{o}"), F.lit(0)) for o in columns})._drop("_carry")
+            o: F.col(o) + F.coalesce(F.col(f"_carry.{o}"), F.lit(0)) for o in columns}).drop("_carry")
 
     def last_seen(self, **columns: Column) -> "KeyedRows":
         """Add ``name=expression``: its latest non-null value up to and including this row."""
@@ -101,7 +105,7 @@ class KeyedRows:
                     F.last(f"_s_{o}", ignorenulls=True)
                     .over(self._across.rowsBetween(Window.unboundedPreceding, -1)).alias(o) for o in columns])))
         return local._with_border(seen).with_columns({
-            o: F.coalesce(F.col(o), F.col(f"_carry.{o}")) for o in columns})._drop("_carry")
+            o: F.coalesce(F.col(o), F.col(f"_carry.{o}")) for o in columns}).drop("_carry")
 
     def number(self, name: str = "n") -> "KeyedRows":
         """Add the 1-based position of the row in its key."""
@@ -126,22 +130,19 @@ class KeyedRows:
         """Left join on (key, slice): the rows are already partitioned that way by their window."""
         return replace(self, df=self.df.join(borders.select(*self.partition, "_carry"), list(self.partition), "left"))
 
-    def _drop(self, *names: str) -> "KeyedRows":
-        return replace(self, df=self.df.drop(*names))
-
 
-def _hot_keys(df: DataFrame, keys: tuple[str, ...], time: str, skew: SkewConfig) -> DataFrame | None:
-    """The keys above ``skew.hot_rows`` with the start and width of their slices, or None.
+def _hot_keys(df: DataFrame, keys: tuple[str, ...], time: str, skew: SkewConfig) -> tuple[int, DataFrame | None]:
+    """Rows of the largest key and, when there are keys above ``skew.hot_rows``, the start and width of their slices.
 
     At most ``skew.max_keys`` rows reach the driver, whatever the size of the data.
     """
-    counts = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(time).alias("_low"), F.max(time).alias("_high"))
-              .filter(F.col("_n") > skew.hot_rows)
-              .orderBy(F.desc("_n"), *keys).limit(skew.max_keys))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    largest = counts.agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
+    if largest <= skew.hot_rows:
+        return largest, None
     cells = 4 * F.ceil(F.col("_n") / skew.slice_rows)
-    hot = counts.select(*keys, F.col("_low").cast("double").alias("_low"),
-                        F.greatest((F.col("_high") - F.col("_low")) / cells, F.lit(1e-6)).cast("double").alias("_width"))
-    found = hot.collect()
-    if not found:
-        return None
-    return df.sparkSession.createDataFrame(found, T.StructType(hot.schema.fields))
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(time).alias("_low"), F.max(time).alias("_high"))
+           .filter(F.col("_n") > skew.hot_rows).orderBy(F.desc("_n"), *keys).limit(skew.max_keys)
+           .select(*keys, F.col("_low").cast("double").alias("_low"),
+                   F.greatest((F.col("_high") - F.col("_low")) / cells, F.lit(1e-6)).cast("double").alias("_width")))
+    return largest, df.sparkSession.createDataFrame(hot.collect(), T.StructType(hot.schema.fields))

@@ -24,7 +24,7 @@ def session_starts(rows: KeyedRows, timeout: float = INACTIVITY_TIMEOUT) -> Keye
     cut = F.col("_prev").isNull() | (F.col("ts") - F.col("_prev") > F.lit(float(timeout)))
     rows = rows.last_seen(_start=F.when(cut, F.struct(F.col("ts").alias("t"), F.col("flow_id").alias("f"))))
     rows = rows.with_columns({"start_ts": F.col("_start.t"), "start_flow_id": F.col("_start.f")})
-    return KeyedRows(rows.df.drop("_prev", "_start"), rows.keys, rows.order, rows.sliced)
+    return rows.drop("_prev", "_start")
 
 
 def session_id(keys: Sequence[str] = FLOW_KEY) -> Column:

@@ -42,30 +42,38 @@ class Timelines:
                        host_partners=self.host_partners.filter(one), host_profile=self.host_profile.filter(one))
 
 
+def number_rows(summaries: DataFrame, order: str = "time", keys: Sequence[str] = HOST,
+                skew: SkewConfig | None = SKEW) -> KeyedRows:
+    """``number_sessions`` together with how its keys are laid out."""
+    by = ORDERS[order]
+    rows = KeyedRows.plan(summaries, keys, by, time="start_ts", skew=skew).number("n").lag(_end="end_ts")
+    rows = rows.with_columns({"inter_session_gap": F.col("start_ts") - F.col("_end")}).drop("_end")
+    # A pair can only be hot when its host is.
+    pairs = KeyedRows.plan(rows.done(), tuple(keys) + ("dest_id",), by, time="start_ts", skew=skew if rows.sliced else None)
+    pairs = pairs.number("partner_n").lag(_end="end_ts")
+    df = pairs.done().withColumn("partner_gap", F.col("start_ts") - F.col("_end")).drop("_end")
+    return replace(rows, df=df)
+
+
 def number_sessions(summaries: DataFrame, order: str = "time", keys: Sequence[str] = HOST,
                     skew: SkewConfig | None = SKEW) -> DataFrame:
     """Add position and gaps: ``n``, ``inter_session_gap`` per host and ``partner_n``, ``partner_gap`` per destination.
 
     ``order`` is chronological (``time``) or by destination group (``ingest``).
     """
-    by = ORDERS[order]
-    rows = KeyedRows.plan(summaries, keys, by, time="start_ts", skew=skew).number("n").lag(_end="end_ts")
-    df = rows.done().withColumn("inter_session_gap", F.col("start_ts") - F.col("_end")).drop("_end")
-    # A pair can only be hot when its host is.
-    pairs = KeyedRows.plan(df, tuple(keys) + ("dest_id",), by, time="start_ts", skew=skew if rows.sliced else None)
-    df = pairs.number("partner_n").lag(_end="end_ts").done()
-    return df.withColumn("partner_gap", F.col("start_ts") - F.col("_end")).drop("_end")
+    return number_rows(summaries, order, keys, skew).df
 
 
 def build_host_sessions(summaries: DataFrame, cfg: TimelineConfig = TimelineConfig(), order: str = "time",
                         keys: Sequence[str] = HOST, skew: SkewConfig | None = SKEW) -> DataFrame:
     """Sessions in host order with baselines and deviations from the host's own past."""
-    rows = number_sessions(summaries, order, keys, skew).withColumns({
+    numbered = number_rows(summaries, order, keys, skew)
+    rows = numbered.df.withColumns({
         "byte_volume": F.col("total_orig_bytes") + F.col("total_resp_bytes"),
         "duration": F.col("duration").cast("double"),
         "num_flows": F.col("num_flows").cast("double"),
         "hour": S.hour_utc("start_ts")})
-    rows = decayed_stats(rows, keys, "n", METRICS, cfg.decay)
+    rows = decayed_stats(rows, keys, "n", METRICS, cfg.decay, longest=numbered.largest)
     known = F.col("n") - 1 >= cfg.min_sessions
     scored = {f"{m}_zscore": F.when(known & F.col(m).isNotNull(), zscore_vs_past(rows, m)) for m in SCORED}
     return rows.withColumns({
@@ -143,9 +151,9 @@ def timelines_from(host_sessions: DataFrame, cfg: TimelineConfig = TimelineConfi
 
 def build_timelines(summaries: DataFrame, cfg: TimelineConfig = TimelineConfig(), order: str = "time",
                     keys: Sequence[str] = HOST, skew: SkewConfig | None = SKEW) -> Timelines:
-    """Summaries to timelines.  The (already reduced) summaries are cut off from the flow work first,
-    because several parts of the timeline read them."""
-    return timelines_from(build_host_sessions(cut(summaries), cfg, order, keys, skew), cfg, keys)
+    """Summaries to timelines.  The (already reduced) summaries and the host sessions are cut off from the
+    work before them, because several parts of the timeline read them."""
+    return timelines_from(cut(build_host_sessions(cut(summaries), cfg, order, keys, skew)), cfg, keys)
 
 
 def host_features(tl: Timelines) -> DataFrame:
