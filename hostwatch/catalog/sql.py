@@ -140,7 +140,7 @@ SAMPLES = """samples AS (SELECT d.doc_id AS sample_id, coalesce(l.toxic, 0) AS l
 SCORES = """scored AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
     round(l_discount * 5 + l_tax * 2, 2) AS score, l_linestatus FROM lineitem)"""
 FINE = """scored AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label,
-    round(l_extendedprice / CAST(200000 AS DOUBLE), 6) AS score, l_linestatus FROM lineitem)"""
+    l_extendedprice / CAST(200000 AS DOUBLE) AS score, l_linestatus FROM lineitem)"""
 POINTS = """counts AS (SELECT score, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg FROM scored GROUP BY score),
 points AS (SELECT *, sum(n_pos) OVER d AS tp, sum(n_neg) OVER d AS fp, sum(n_pos) OVER () AS p, sum(n_neg) OVER () AS n
   FROM counts WINDOW d AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"""

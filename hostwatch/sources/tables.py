@@ -76,7 +76,7 @@ def samples_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored_from_lineitem(spark: SparkSession, sf_dir: str, fine: bool = False) -> DataFrame:
     """Order lines as scored samples: heavily tied scores, or (``fine``) nearly distinct ones."""
-    score = (F.round(F.col("l_extendedprice") / 200000.0, 6) if fine
+    score = (F.col("l_extendedprice") / 200000.0 if fine
              else F.round(F.col("l_discount") * 5 + F.col("l_tax") * 2, 2))
     return table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("label"), score.alias("score"),
                                                    "l_linestatus")
