@@ -8,6 +8,7 @@ from hostwatch.catalog import frames as fr, query, sql
 from hostwatch.catalog.frames import tidy
 from hostwatch.config import FEATURES
 from hostwatch.operators import drift as DR, metrics as M, rank as R
+from hostwatch.operators.lineage import cut
 from hostwatch.sources import tables as T
 
 TIED, FINE = f"WITH {sql.SCORES}", f"WITH {sql.FINE}"
@@ -207,7 +208,8 @@ COLUMNS = ("source_mean", "target_mean", "source_std", "target_std", "source_med
 def drift(spark, sf):
     from hostwatch.operators.transforms import map_flows
 
-    s = map_flows(fr.sessions(spark, sf), lambda f, x: F.least(x, F.lit(1e6)))
+    # Both sides and all statistics read the sessions: build them once.
+    s = cut(map_flows(fr.sessions(spark, sf), lambda f, x: F.least(x, F.lit(1e6))))
     return DR.feature_drift(s.filter(F.col("start_ts") < HALF), s.filter(F.col("start_ts") >= HALF), min_flows=3)
 
 

@@ -20,10 +20,22 @@ def _moments(flows: DataFrame, side: str) -> DataFrame:
     return wide.select(F.inline(rows))
 
 
-def _quantiles(flows: DataFrame, side: str, exact: bool) -> DataFrame:
-    if exact:
-        tall = flows.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in FEATURES])))
-        return exact_quantiles(tall, "value", {f"{side}_median": 0.5, f"{side}_p95": 0.95}, by=("feature",))
+SIDES = ("source", "target")
+
+
+def _exact_quantiles(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Median and 95th percentile of both sides at once: one row per (side, feature, value) first."""
+    def tall(flows: DataFrame, side: str) -> DataFrame:
+        rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in FEATURES])
+        return flows.select(F.lit(side).alias("side"), F.inline(rows))
+
+    both = tall(source, "source").unionByName(tall(target, "target"))
+    found = exact_quantiles(both, "value", {"median": 0.5, "p95": 0.95}, by=("side", "feature"))
+    return found.groupBy("feature").agg(*[F.max(F.when(F.col("side") == s, F.col(q))).alias(f"{s}_{q}")
+                                          for s in SIDES for q in ("median", "p95")])
+
+
+def _approximate_quantiles(flows: DataFrame, side: str) -> DataFrame:
     wide = flows.agg(*[F.percentile_approx(f, [0.5, 0.95], 100_000).alias(f) for f in FEATURES])
     return wide.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f)[0].alias(f"{side}_median"),
                                                    F.col(f)[1].alias(f"{side}_p95")) for f in FEATURES])))
@@ -44,9 +56,12 @@ def flow_drift(source: DataFrame, target: DataFrame, exact: bool = True) -> Data
 
     ``exact=False`` takes approximate quantiles in the same single pass as the moments.
     """
-    out = _moments(source, "source")
-    for part in (_moments(target, "target"), _quantiles(source, "source", exact), _quantiles(target, "target", exact)):
-        out = out.join(part, "feature")
+    out = _moments(source, "source").join(_moments(target, "target"), "feature")
+    if exact:
+        out = out.join(_exact_quantiles(source, target), "feature")
+    else:
+        for flows, side in ((source, "source"), (target, "target")):
+            out = out.join(_approximate_quantiles(flows, side), "feature")
     return out.withColumns({
         "standardized_mean_shift": standardized_shift(*[F.col(c) for c in ("source_mean", "target_mean", "source_std", "target_std")]),
         "median_ratio": median_ratio(F.col("source_median"), F.col("target_median"))})

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from hostwatch.operators.lineage import cut
 
 MAX_GROUPS = 1000  # groups of ``by``; the bucket tables are broadcast, so their size is checked
-STEP = 16
+STEP = 32
+MAX_PARTS = 1024
 
 
 def _bucket(value: Column, bounds: Column) -> Column:
@@ -30,10 +31,10 @@ def global_running_sum(df: DataFrame, order: str, sums: dict[str, str], by: Sequ
     by = list(by)
     if materialize:
         df = cut(df)
-    parts = parts or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or min(MAX_PARTS, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     key = -F.col(order) if descending else F.col(order)
     points = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    bounds = df.groupBy(*by).agg(F.percentile_approx(key, points, 100 * parts).alias("_bounds")).limit(MAX_GROUPS + 1)
+    bounds = df.groupBy(*by).agg(F.percentile_approx(key, points, 10 * parts).alias("_bounds")).limit(MAX_GROUPS + 1)
     found = bounds.collect()
     if len(found) > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} groups in {by}")
@@ -51,7 +52,7 @@ def global_running_sum(df: DataFrame, order: str, sums: dict[str, str], by: Sequ
     offsets = totals.select(
         *slot, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
         *[F.sum(f"_t_{n}").over(group).alias(f"{n}_total") for n in sums])
-    # At most parts * MAX_GROUPS rows.
+    # At most MAX_PARTS * MAX_GROUPS small rows.
     rows = rows.join(F.broadcast(offsets), slot)
     running = (Window.partitionBy(*slot).orderBy(key)
                .rangeBetween(Window.unboundedPreceding, Window.currentRow))
