@@ -104,7 +104,7 @@ def m07(spark, sf):
 @query("m07_detector_report")
 def m07_detector(spark, sf):
     stored = cut(fr.stored(spark, sf))
-    detector, _ = ML.train_detector(stored, min_flows=3, budget=0.03, candidates=[LogisticRegression(regParam=0.1)])
+    detector, _ = ML.train_detector(stored, min_flows=3, budget=0.03, candidates=[LogisticRegression(regParam=0.1, maxIter=20)])
     return ML.score_report(stored, detector, "holdout", min_flows=3)
 
 
@@ -112,7 +112,7 @@ def m07_detector(spark, sf):
 def m08(spark, sf):
     s = cut(fr.stored(spark, sf))
     early = F.col("start_ts") < 1705363200
-    return ML.ablation(s.filter(early), s.filter(~early), min_flows=3, budget=0.03, candidates=[LogisticRegression(regParam=0.1)])
+    return ML.ablation(s.filter(early), s.filter(~early), min_flows=3, budget=0.03, candidates=[LogisticRegression(regParam=0.1, maxIter=20)])
 
 
 @query("m09_prepare_frames", f"""WITH {sql.kept()}, s AS (SELECT session_id AS sample_id, label FROM (SELECT session_id, CASE WHEN 2 * sum(label) > count(label) THEN 1 ELSE 0 END AS label FROM tagged GROUP BY session_id)
