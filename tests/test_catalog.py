@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from hostwatch import catalog
 from conftest import SMALL
 from oracle import compare, duck
 
@@ -16,7 +17,7 @@ NAMES = sorted(entry.oracle_sql()) if os.environ.get("HOSTWATCH_ALL") else SAMPL
 def test_registry():
     queries, sqls = entry.queries(), entry.oracle_sql()
     assert set(sqls) <= set(queries) and len(queries) > 100
-    assert all(not n.startswith("op") and "pipeline" not in n for n in queries)
+    assert all(not n.startswith("op") and "pipeline" not in n for n in catalog.QUERIES)
 
 
 @pytest.mark.parametrize("name", NAMES)
