@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hostwatch.operators.lineage import cut, shared_folder
 
-__all__ = ["components", "cut", "shared_path", "table"]
+__all__ = ["components", "cut", "shared_path", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: cut like a checkpoint, but of known size, so that plans of many
+    rounds stay small and small sides are recognised."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected ``edges`` (a, b): one row (node, component) per node with an edge.
 
@@ -29,20 +37,19 @@ def components(edges: DataFrame) -> DataFrame:
     round at least halves what is left of a component.  Pointers of all rounds are then followed from the last one back.
     Edges with a null end are ignored, repeated edges and loops do no harm.
     """
-    left = cut(edges.select("a", "b").where("a != b").distinct())
+    left = stored(edges.select("a", "b").where("a != b").distinct())
     rounds: list[DataFrame] = []
     while not left.isEmpty():
         both = left.union(left.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
         to = both.select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
         for _ in range(2):
-            to = cut(to)
-            further = to.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            to = to.join(further, "to").select("node", F.col("next").alias("to"))
-        to = cut(to)
+            to = stored(to)
+            to = to.join(to.toDF("to", "next"), "to").select("node", F.col("next").alias("to"))
+        to = stored(to)
         rounds.append(to)
         a, b = to.toDF("a", "x"), to.toDF("b", "y")
-        left = cut(left.join(a, "a").join(b, "b").where("x != y")
-                   .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        left = stored(left.join(a, "a").join(b, "b").where("x != y")
+                      .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     if not rounds:
         return edges.selectExpr("a AS node", "a AS component").where("false")
     found = rounds[-1].toDF("node", "component")

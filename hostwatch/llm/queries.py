@@ -71,3 +71,109 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, tokenizer())
     return token_files.read_documents(spark, path)
+
+
+def _pii_sql() -> str:
+    """Matches between marks, split, and checked one by one; the patterns are the plain ones."""
+    byte = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    digits = "regexp_replace(found, '[^0-9]', '', 'g')"
+    moved = "(substr(replace(found, ' ', ''), 5) || substr(replace(found, ' ', ''), 1, 4))"
+    luhn = f"""list_sum(list_transform(range(1, length({digits}) + 1), lambda k: CASE WHEN k % 2 = 1 THEN substr({digits}, -k, 1)::INT
+      ELSE 2 * substr({digits}, -k, 1)::INT - CASE WHEN substr({digits}, -k, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+    mod97 = f"""list_reduce(list_prepend(0, list_transform(range(1, length({moved}) + 1), lambda k: CASE WHEN substr({moved}, k, 1) < 'A'
+      THEN substr({moved}, k, 1)::INT ELSE ascii(substr({moved}, k, 1)) - 55 END)), lambda acc, d: (acc * CASE WHEN d > 9 THEN 100 ELSE 10 END + d) % 97) = 1"""
+    kinds = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true", 0.7, "mail|contact|write"),
+             ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", rf"regexp_matches(found, '^{byte}\.{byte}\.{byte}\.{byte}$')", 0.6, r"\bip\b|address|host|server"),
+             ("card", r"[0-9]([\x20-]?[0-9])+", f"length({digits}) BETWEEN 16 AND 19 AND {luhn}", 0.7, "card|visa|credit|payment"),
+             ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 8 AND 15", 0.6, "phone|tel|call|mobile|fax"),
+             ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", f"NOT regexp_matches(before, '[A-Za-z0-9]$') AND {mod97}", 0.7, "iban|account|bank"),
+             ("ssn", r"[0-9]+-[0-9]+-[0-9]+", "NOT regexp_matches(before, '[0-9-]$') AND regexp_matches(found, '^[0-9]{3}-[0-9]{2}-[0-9]{4}$')", 0.3,
+              "ssn|social security|tax id"))
+    parts = " UNION ALL ".join(
+        rf"SELECT doc_id, {n} AS k, '{kind}' AS kind, string_split(regexp_replace(clean, '{pattern}', chr(57344) || '\0' || chr(57344), 'g'), chr(57344)) AS parts FROM texts"
+        for n, (kind, pattern, *_) in enumerate(kinds))
+    valid = " ".join(f"WHEN '{kind}' THEN {check}" for kind, _, check, _, _ in kinds)
+    score = " ".join(f"WHEN '{kind}' THEN round({base} + CASE WHEN regexp_matches(lower(before), '{near}') THEN 0.3 ELSE 0 END, 3)" for kind, _, _, base, near in kinds)
+    return rf"""WITH texts AS (SELECT doc_id, replace(coalesce(text, ''), chr(57344), chr(65533)) AS clean FROM documents),
+parted AS ({parts}),
+places AS (SELECT doc_id, k, kind, parts, unnest(range(2, len(parts) + 1, 2)) AS i FROM parted WHERE len(parts) > 1),
+found AS (
+  SELECT doc_id, k, kind, parts[i] AS found, right(parts[i - 1], 50) AS before, list_sum(list_transform(parts[1:i - 1], lambda p: length(p)))::BIGINT AS start FROM places),
+spans AS (
+  SELECT *, start + length(found) AS stop, (CASE kind {score} END)::DOUBLE AS score FROM found WHERE CASE kind {valid} END),
+kept AS (SELECT *, kind || ':' || start || ':' || stop AS written FROM spans WHERE score >= 0.5),
+summed AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card,
+    count(*) FILTER (WHERE kind = 'phone') AS n_phone, string_agg(written, ',' ORDER BY k, start) FILTER (WHERE k < 4) AS base,
+    string_agg(written, ',' ORDER BY k, start) AS spans, list(score ORDER BY k, start) AS scores FROM kept GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, []) AS scores
+FROM documents d LEFT JOIN summed s USING (doc_id)"""
+
+
+@query("op10_pii", _pii_sql())
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostwatch.llm.pii import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_simhash")
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostwatch.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_embedding_dedup", r"""WITH RECURSIVE fine AS (
+  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) >= 0.98),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+groups AS (SELECT a, min(b) AS smallest FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(g.smallest, e.vec_id)) AS component_id,
+  coalesce(e.vec_id <= coalesce(g.smallest, e.vec_id), false) AS kept
+FROM embeddings e LEFT JOIN groups g ON g.a = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id""")
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostwatch.llm.embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_top_k", r"""WITH fine AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM fine q JOIN fine c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""")
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostwatch.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostwatch.llm.quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostwatch.llm.toxicity import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_warc")
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostwatch.llm.warc import derive, responses
+
+    return derive(responses(table(spark, sf_dir, "pages")))
