@@ -32,9 +32,9 @@ def stored(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected ``edges`` (a, b): one row (node, component) per node with an edge.
 
-    Each round points every node to its smallest neighbour, follows the pointers twice, and keeps the edges between
-    the nodes pointed to; as pointers only go down, the last one standing is the smallest node of its component.  A
-    round at least halves what is left of a component.  Pointers of all rounds are then followed from the last one back.
+    Each round points every node to its smallest neighbour, follows the pointers to their ends, and keeps the edges between
+    the ends; as pointers only go down, the last one standing is the smallest node of its component.  A round at
+    least halves what is left of a component.  Pointers of all rounds are then followed from the last one back.
     Edges with a null end are ignored, repeated edges and loops do no harm.
     """
     left = stored(edges.select("a", "b").where("a != b").distinct())
@@ -42,10 +42,12 @@ def components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         both = left.union(left.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
         to = both.select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
-        for _ in range(2):
-            to = stored(to)
-            to = to.join(to.toDF("to", "next"), "to").select("node", F.col("next").alias("to"))
         to = stored(to)
+        while True:  # to the end of the chain: each turn doubles the steps that are taken
+            jumped = stored(to.join(to.toDF("to", "next"), "to").select("node", F.col("next").alias("to"), (F.col("to") != F.col("next")).alias("moved")))
+            to = jumped.select("node", "to")
+            if jumped.where("moved").isEmpty():
+                break
         rounds.append(to)
         a, b = to.toDF("a", "x"), to.toDF("b", "y")
         left = stored(left.join(a, "a").join(b, "b").where("x != y")

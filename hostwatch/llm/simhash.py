@@ -1,8 +1,9 @@
 """SimHash near-duplicates through a hierarchical index in Gray order.
 
 Two fingerprints of 64 bits that differ in at most ``d`` bits agree on one of ``d + 1`` blocks of bits, so distinct
-fingerprints meet in buckets of equal blocks.  A bucket above ``BUCKET`` fingerprints is divided again: the bits that its
+fingerprints meet in buckets of equal blocks.  A bucket far above ``BUCKET`` fingerprints is divided once more: the bits that its
 members do not share yet are cut into ``d + 1`` blocks, and those that differ in at most ``d`` bits agree on one of them too.
+What is still above is dealt into parts, and every two parts are searched together.
 Inside a bucket, fingerprints sorted by Gray rank form an index: neighbours share bits, and a node keeps the mask and value
 of the bits that all its members share and its parent does not.  Differences are added up on the way down, and a whole
 group is left as soon as they exceed ``d``.  A bucket gives a spanning forest of its links, not all pairs.
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from hostwatch.llm.common import components, cut
 
 BITS = 64
-#: Fingerprints of a bucket at most, before it is divided again (as long as it has bits to divide).
-BUCKET = 4096
+#: Fingerprints of a bucket that are searched as they are; a bucket above FAR times as many is divided by its other bits first.
+BUCKET, FAR = 1024, 64
 #: Children of a node of the index.
 FAN = 8
 #: Pairs of a fingerprint and a node that are looked at together.
@@ -201,20 +202,22 @@ def links(distinct: DataFrame, most: int = 4, bucket: int = BUCKET) -> DataFrame
     Bucket numbers are hashes of the blocks agreed on; should two buckets get one number, they are searched together,
     which costs time and loses nothing: every link is checked on all 64 bits.
     """
-    found, left = None, distinct.select("fp", F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("known"))
-    while True:
-        rows = cut(_divided(left, most))
-        known = F.bit_count("known")
-        large = cut(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(known).alias("bits")).where((F.col("n") > bucket) & (F.col("bits") < BITS - most))
-                    .select("bucket"))
-        more = not large.isEmpty()
-        small = rows.join(large, "bucket", "left_anti") if more else rows
-        part = (small.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket")
-                .mapInArrow(_links_in_buckets(most), "a long, b long"))
-        found = part if found is None else found.union(part)
-        if not more:
-            return found
-        left = rows.join(large, "bucket", "left_semi")
+    rows = cut(_divided(distinct.select("fp", F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("known")), most))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
+    far = cut(sizes.where(F.col("n") > bucket * FAR).select("bucket"))
+    if not far.isEmpty():
+        rows = cut(rows.join(far, "bucket", "left_anti").unionByName(_divided(rows.join(far, "bucket", "left_semi"), most)))
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"))
+    parts = F.ceil(F.col("n") / bucket).cast("long")
+    large = cut(sizes.where(F.col("n") > bucket).select("bucket", parts.alias("parts")))
+    searched = rows.select("bucket", "fp")
+    if not large.isEmpty():
+        own = F.pmod(F.xxhash64("fp"), F.col("parts"))
+        dealt = (rows.join(large, "bucket").withColumn("own", own)
+                 .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("own != other")
+                 .select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "fp"))
+        searched = rows.join(large, "bucket", "left_anti").select("bucket", "fp").unionByName(dealt)
+    return searched.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_links_in_buckets(most), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, most: int = 4) -> DataFrame:

@@ -57,7 +57,7 @@ def test_odd(spark):
     assert simhash.near_duplicates(df.where("false")).count() == 0
 
 
-def test_links_connect_what_brute_force_connects(spark):
+def test_links_connect_what_brute_force_connects(spark, monkeypatch):
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 2 ** 63, 40, dtype=np.uint64)
     fps = [int(c) for c in rng.integers(0, 2 ** 63, 1500, dtype=np.uint64)]
@@ -69,7 +69,8 @@ def test_links_connect_what_brute_force_connects(spark):
     fps = list(dict.fromkeys(fps))
     want = groups(fps)
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
-    for bucket in (4096, 8):
+    for bucket, far in ((1024, 64), (8, 64), (8, 2)):
+        monkeypatch.setattr(simhash, "FAR", far)
         links = simhash.links(df, 4, bucket)
         found = {r.node % 2 ** 64: r.component % 2 ** 64 for r in components(links).collect()}
         mine = {}
