@@ -130,7 +130,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0)
     slab = F.pmod(F.xxhash64("query_id"), F.lit(slabs))
     stored = cut(stored.join(sizes, "cell").select("cell", block_of.alias("block"), "vec_id", "x")
                  .withColumn("slab", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slabs - 1).cast("long")))))
-    near = queries.join(sizes, "cell").select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"), "cell", block_of.alias("block"),
+    near = queries.join(sizes, "cell").select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"), F.col("cell").alias("cell"), block_of.alias("block"),
                                               F.lit(-(1 << 63)).cast("long").alias("bound"))
     keys = ["cell", "block", "slab"]
     answer = "query_id long, vec_id long, score long"
