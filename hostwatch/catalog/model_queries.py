@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
@@ -25,13 +26,13 @@ X = [f"x{i}" for i in range(64)]
 
 @query("m01_forest_baseline")
 def m01(spark, sf):
-    _, scored, _ = ML.rf_baseline(vectors(spark, sf), X, trees=20, depth=5)
+    _, scored, _ = ML.rf_baseline(vectors(spark, sf), X)
     return scored
 
 
 @query("j10_top_importances")
 def j10(spark, sf):
-    return ML.top_importances(ML.rf_baseline(vectors(spark, sf), X, trees=20, depth=5)[2])
+    return ML.top_importances(ML.rf_baseline(vectors(spark, sf), X)[2])
 
 
 @query("m02_train_under_budget")
@@ -49,10 +50,11 @@ def m04(spark, sf):
 
 # A fixed linear rule stands in for a fitted model where results must be the same in SQL.
 def _rule(frame):
-    return frame["embedding"].map(lambda v: 1.0 if v[0] + v[1] > 0 else 0.0)
+    values = np.stack(frame["embedding"]).astype(np.float64)
+    return (values @ np.where(np.arange(values.shape[1]) % 2, -1.0, 1.0) > 0).astype(np.float64)
 
 
-EMB = "WITH scored AS (SELECT vec_id AS sample_id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS label, CASE WHEN embedding[1] + embedding[2] > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END AS score FROM embeddings)"
+EMB = "WITH scored AS (SELECT vec_id AS sample_id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS label, CASE WHEN list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END)) > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END AS score FROM embeddings)"
 
 
 def ruled(spark, sf):

@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hostwatch.operators.lineage import cut
 
-MAX_GROUPS = 1000  # groups of ``by``; the bucket tables are broadcast, so their size is checked
 STEP = 32
-MAX_PARTS = 1024
+PART_ROWS = 1_000_000  # rows of a bucket that are aimed at
+LEVEL_PARTS = 1024  # buckets of one level; more are reached by cutting each bucket again
+
+
+def _place(df: DataFrame, order: str) -> Column:
+    """A number that never falls as ``order`` rises: only for cutting buckets, sums follow the column itself."""
+    kind = dict(df.dtypes)[order]
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(order, "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if kind == "date":
+        return F.unix_date(order).cast("double")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(order).cast("timestamp")).cast("double")
+    return F.col(order).cast("double")
 
 
 def _bucket(value: Column, bounds: Column) -> Column:
@@ -20,44 +33,53 @@ def _bucket(value: Column, bounds: Column) -> Column:
     return F.size(coarse) * STEP + F.size(fine)
 
 
+def _bucketed(rows: DataFrame, by: list[str], parts: int, name: str) -> DataFrame:
+    """Add ``name``, the bucket of ``_place`` among ``parts`` of each group, at approximate quantiles."""
+    points = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    bounds = rows.groupBy(*by).agg(F.percentile_approx("_place", points, 10 * parts).alias("_bounds"))
+    if by:
+        same = [F.col(f"_by{k}").eqNullSafe(F.col(c)) for k, c in enumerate(by)]
+        bounds = bounds.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], "_bounds")
+        joined = rows.join(bounds, reduce(lambda a, b: a & b, same)).drop(*[f"_by{k}" for k in range(len(by))])
+        return joined.withColumn(name, _bucket(F.col("_place"), F.col("_bounds"))).drop("_bounds")
+    edges = bounds.first()["_bounds"] or []  # at most LEVEL_PARTS numbers
+    return rows.withColumn(name, _bucket(F.col("_place"), F.array(*map(F.lit, edges)).cast("array<double>")))
+
+
 def global_running_sum(df: DataFrame, order: str, sums: dict[str, str], by: Sequence[str] = (), descending: bool = False,
                        parts: int | None = None, materialize: bool = True) -> DataFrame:
     """Add ``name`` (sum of a column over all rows up to this one) and ``name_total`` for ``sums={name: column}``.
 
-    Rows should be aggregated so that ``order`` is distinct within ``by`` (a small set of groups).  The
-    order is cut at approximate quantiles into buckets; each bucket is summed by itself and gets the
-    total of the buckets before it.  The quantiles only balance the work, the sums are exact.
+    Rows should be aggregated so that ``order`` (a number, text, date or time) is distinct within ``by``; there may be any
+    number of groups.  The order is cut at approximate quantiles into buckets of about PART_ROWS rows; each bucket is summed by
+    itself and gets the total of the buckets before it.  The quantiles only balance the work, the sums are exact.
     """
     by = list(by)
     if materialize:
         df = cut(df)
-    parts = parts or min(MAX_PARTS, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    key = -F.col(order) if descending else F.col(order)
-    points = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    bounds = df.groupBy(*by).agg(F.percentile_approx(key, points, 10 * parts).alias("_bounds")).limit(MAX_GROUPS + 1)
-    found = bounds.collect()
-    if len(found) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups in {by}")
-    if by:
-        edges = F.broadcast(df.sparkSession.createDataFrame(found, bounds.schema)) if found else F.broadcast(bounds)
-        rows = df.join(edges, by).withColumn("_bucket", _bucket(key, F.col("_bounds"))).drop("_bounds")
-    else:
-        edges = found[0]["_bounds"] if found and found[0]["_bounds"] else []
-        lit = F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>")
-        rows = df.withColumn("_bucket", _bucket(key.cast("double"), lit))
-    slot = by + ["_bucket"]
+    if parts is None:
+        most = (df.groupBy(*by).count().agg(F.max("count")) if by else df.agg(F.count("*"))).first()[0] or 0
+        parts = max(8, -(-most // PART_ROWS))
+    rows = df.withColumn("_place", _place(df, order))
+    buckets = ["_bucket"]
+    rows = _bucketed(rows, by, min(parts, LEVEL_PARTS), "_bucket")
+    if parts > LEVEL_PARTS:
+        buckets.append("_bucket2")
+        rows = _bucketed(rows, [*by, "_bucket"], min(-(-parts // LEVEL_PARTS), LEVEL_PARTS), "_bucket2")
+    slot = by + buckets
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = group.orderBy(*[F.desc(b) if descending else F.asc(b) for b in buckets]).rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*slot).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    offsets = totals.select(
-        *slot, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
+    offsets = totals.select(  # a row per bucket
+        *[F.col(c).alias(f"_s{k}") for k, c in enumerate(slot)],
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
         *[F.sum(f"_t_{n}").over(group).alias(f"{n}_total") for n in sums])
-    # At most MAX_PARTS * MAX_GROUPS small rows.
-    rows = rows.join(F.broadcast(offsets), slot)
-    running = (Window.partitionBy(*slot).orderBy(key)
+    same = [F.col(f"_s{k}").eqNullSafe(F.col(c)) for k, c in enumerate(slot)]
+    rows = rows.join(offsets, reduce(lambda a, b: a & b, same))
+    running = (Window.partitionBy(*slot).orderBy(F.desc(order) if descending else F.asc(order))
                .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     return rows.withColumns({n: F.sum(c).over(running) + F.col(f"_o_{n}") for n, c in sums.items()}).drop(
-        "_bucket", *[f"_o_{n}" for n in sums])
+        "_place", *buckets, *[f"_o_{n}" for n in sums], *[f"_s{k}" for k in range(len(slot))])
 
 
 def global_rank(df: DataFrame, order: str, descending: bool = False, name: str = "rank") -> DataFrame:

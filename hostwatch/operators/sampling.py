@@ -7,20 +7,60 @@ Neither sorts, shuffles nor collects the rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import warnings
+from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hostwatch.functions.scalars import hash_order
 
 DIGITS = 3
 SMALL = 10_000
 NOTHING, EVERYTHING = "", "~"
+HASH_DIGITS = 32
+COPY = "_copy"
+
+
+@dataclass(frozen=True)
+class Cut:
+    """The rows up to a position of a group's hash order: all lower hashes, and ``keep`` of the ``copies`` rows that share ``hash``."""
+
+    hash: str
+    keep: int = 0
+    copies: int = 0
+
+    @property
+    def splits(self) -> bool:
+        return self.keep < self.copies
+
+    def holds(self, h: Column) -> Column:
+        """Whether a row is within; rows come from :func:`with_copies` where the cut splits copies."""
+        return (h < self.hash) | ((h == self.hash) & (F.col(COPY) <= self.keep)) if self.splits else h <= self.hash
+
+
+def with_copies(df: DataFrame, group: Column, cuts: Iterable[Cut], sample_id: str = "sample_id", seed: int = 42) -> DataFrame:
+    """Number the rows that share a hash which a cut splits (``_copy``, from 1, by content), so that sizes are exact
+    with repeated ids too.  Without such a hash this is a map; else only the rows with it are shuffled."""
+    split = sorted({c.hash for c in cuts if c.splits})
+    if not split:
+        return df.withColumn(COPY, F.lit(0))
+    h = hash_order(sample_id, seed)
+    tied = F.coalesce(h.isin(*split), F.lit(False))
+    content = F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")])
+    number = F.row_number().over(Window.partitionBy(h, group).orderBy(content))
+    return df.filter(~tied).withColumn(COPY, F.lit(0)).unionByName(df.filter(tied).withColumn(COPY, number))
 
 
 def nth_hashes(df: DataFrame, group: Column, wanted: Mapping[str, Sequence[int]], sizes: Mapping[str, int],
                sample_id: str = "sample_id", seed: int = 42) -> dict[str, list[str]]:
-    """For every group, the hashes at the wanted 1-based positions of its hash order.
+    """For every group, the hashes at the wanted 1-based positions of its hash order."""
+    return {g: [c.hash for c in cuts] for g, cuts in find_cuts(df, group, wanted, sizes, sample_id, seed).items()}
+
+
+def find_cuts(df: DataFrame, group: Column, wanted: Mapping[str, Sequence[int]], sizes: Mapping[str, int],
+              sample_id: str = "sample_id", seed: int = 42) -> dict[str, list[Cut]]:
+    """For every group, the cuts at the wanted 1-based positions of its hash order.
 
     ``sizes`` holds the group sizes.  A position of 0 gives a value below, a position of the group size one
     above every hash.
@@ -31,14 +71,18 @@ def nth_hashes(df: DataFrame, group: Column, wanted: Mapping[str, Sequence[int]]
         for p in positions:
             if 0 < p < sizes.get(g, 0):
                 state[g, p] = ["", p, sizes[g]]
-    while any(size > SMALL for _, _, size in state.values()):
-        open_ = {(g, s[0]) for (g, _), s in state.items() if s[2] > SMALL}
+
+    def narrows(s: list) -> bool:  # a whole hash is one id with its copies
+        return s[2] > SMALL and len(s[0]) < HASH_DIGITS
+
+    while any(map(narrows, state.values())):
+        open_ = {(g, s[0]) for (g, _), s in state.items() if narrows(s)}
         counts: dict[tuple[str, str], list[tuple[str, int]]] = {}
         for r in _within(keyed, open_).groupBy("g", "p", F.substr("h", F.length("p") + 1, F.lit(DIGITS)).alias("d")) \
                 .count().collect():
             counts.setdefault((r["g"], r["p"]), []).append((r["d"], r["count"]))
         for (g, _), s in state.items():
-            if s[2] <= SMALL:
+            if not narrows(s):
                 continue
             for digits, n in sorted(counts[g, s[0]]):
                 if s[1] <= n:
@@ -46,18 +90,22 @@ def nth_hashes(df: DataFrame, group: Column, wanted: Mapping[str, Sequence[int]]
                     break
                 s[1] -= n
     found: dict[tuple[str, str], list[str]] = {}
-    if state:
-        last = {(g, s[0]) for (g, _), s in state.items()}
+    last = {(g, s[0]) for (g, _), s in state.items() if len(s[0]) < HASH_DIGITS}
+    if last:
         for r in _within(keyed, last).groupBy("g", "p").agg(F.sort_array(F.collect_list("h")).alias("hs")).collect():
             found[r["g"], r["p"]] = r["hs"]
 
-    def answer(g: str, p: int) -> str:
+    def answer(g: str, p: int) -> Cut:
         if p <= 0:
-            return NOTHING
+            return Cut(NOTHING)
         if p >= sizes.get(g, 0):
-            return EVERYTHING
-        prefix, position, _ = state[g, p]
-        return found[g, prefix][position - 1]
+            return Cut(EVERYTHING)
+        prefix, position, size = state[g, p]
+        if len(prefix) == HASH_DIGITS:
+            return Cut(prefix, position, size)
+        hashes = found[g, prefix]
+        h = hashes[position - 1]
+        return Cut(h, position - hashes.index(h), hashes.count(h))
 
     return {g: [answer(g, p) for p in positions] for g, positions in wanted.items()}
 
@@ -76,8 +124,9 @@ def label_counts(df: DataFrame) -> dict[int, int]:
 
 def keep_benign(df: DataFrame, n: int, available: int, seed: int = 42, sample_id: str = "sample_id") -> DataFrame:
     """All positives and ``n`` of the benign rows."""
-    cut = nth_hashes(df.filter(F.col("label") == 0), F.lit("b"), {"b": [n]}, {"b": available}, sample_id, seed)["b"][0]
-    return df.filter((F.col("label") == 1) | (hash_order(sample_id, seed) <= cut))
+    cut = find_cuts(df.filter(F.col("label") == 0), F.lit("b"), {"b": [n]}, {"b": available}, sample_id, seed)["b"][0]
+    numbered = with_copies(df, F.col("label"), [cut], sample_id, seed)
+    return numbered.filter((F.col("label") == 1) | cut.holds(hash_order(sample_id, seed))).drop(COPY)
 
 
 def mix(c2: DataFrame, benign: DataFrame, c2_ratio: float = 0.15, seed: int = 42, sample_id: str = "sample_id") -> DataFrame:
@@ -94,10 +143,13 @@ def mix(c2: DataFrame, benign: DataFrame, c2_ratio: float = 0.15, seed: int = 42
 
 
 def rebalance(df: DataFrame, c2_ratio: float, seed: int = 42, sample_id: str = "sample_id") -> DataFrame:
-    """Downsample benign rows to the ratio; where that cannot be reached the input is returned as it is."""
+    """Downsample benign rows to the ratio; where that cannot be reached the input is returned as it is, with a warning."""
     n = label_counts(df)
     want = int(n[1] / c2_ratio) - n[1]
-    return df if want <= 0 or want > n[0] else keep_benign(df, want, n[0], seed, sample_id)
+    if want <= 0 or want > n[0]:
+        warnings.warn(f"a ratio of {c2_ratio} needs {want} benign rows of {n[0]}; rows stay as they are", UserWarning, stacklevel=2)
+        return df
+    return keep_benign(df, want, n[0], seed, sample_id)
 
 
 def undersample(df: DataFrame, ratio: float = 10.0, seed: int = 42, sample_id: str = "sample_id") -> DataFrame:

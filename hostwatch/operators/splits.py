@@ -1,26 +1,25 @@
 """Train/validation/test splits and the checks that go with them.
 
-Every strategy first reads small counts (per label, family or source), decides exact sizes on the driver and
-then assigns ``split`` in one map over the rows.
+Every strategy first reads sums per label (held-out families and sources are told by the hash of their name, so names
+are never collected), decides exact sizes on the driver and then assigns ``split`` in one map over the rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import warnings
-from collections.abc import Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hostwatch.config import TEST_FRACTION, VAL_FRACTION
 from hostwatch.functions.labels import split_key
 from hostwatch.functions.scalars import hash_order
+from hostwatch.operators.lineage import cut
 from hostwatch.operators.rank import global_running_sum
-from hostwatch.operators.sampling import label_counts, nth_hashes
+from hostwatch.operators.sampling import COPY, find_cuts, label_counts, with_copies
 
 STRATEGIES = ("random_stratified", "family_separated", "source_separated", "time_separated", "zero_shot")
-MAX_NAMES = 10_000  # families or sources: names of a taxonomy, not data
 
 
 def allocate(counts: dict[int, int], draws: int) -> dict[int, int]:
@@ -59,24 +58,27 @@ def _assign(df: DataFrame, group: Column, sizes: dict[str, int], plan: dict[str,
             sample_id: str, rest: str = "train") -> DataFrame:
     """Give the first rows (by hash) of each group to the named parts in turn, the others to ``rest``."""
     ends = {g: [sum(n for _, n in parts[:i + 1]) for i in range(len(parts))] for g, parts in plan.items()}
-    cuts = nth_hashes(df, group, ends, sizes, sample_id, seed)
+    cuts = find_cuts(df, group, ends, sizes, sample_id, seed)
     h = hash_order(sample_id, seed)
-    tests = [F.when((group == g) & (h <= cuts[g][i]), F.lit(name))
+    tests = [F.when((group == g) & cuts[g][i].holds(h), F.lit(name))
              for g, parts in plan.items() for i, (name, _) in enumerate(parts)]
-    return df.withColumn("split", F.coalesce(*tests, F.lit(rest)))
+    numbered = with_copies(df, group, [c for of in cuts.values() for c in of], sample_id, seed)
+    return numbered.withColumn("split", F.coalesce(*tests, F.lit(rest))).drop(COPY)
 
 
-def _order(names: Sequence[str], seed: int) -> list[str]:
-    return sorted(names, key=lambda n: hashlib.md5(f"{seed}:{n}".encode()).hexdigest())
+def _named_counts(df: DataFrame, name: Column) -> DataFrame:
+    """Rows per class of every name: ``name, b, c``.  A table, as there may be any number of names."""
+    return cut(df.groupBy(name.alias("name")).agg(F.count(F.when(F.col("label") == 0, 1)).alias("b"), F.count(F.when(F.col("label") == 1, 1)).alias("c")))
 
 
-def _named_counts(df: DataFrame, name: Column) -> dict[str, dict[int, int]]:
-    rows = (df.groupBy(name.alias("name")).agg(F.count(F.when(F.col("label") == 0, 1)).alias("b"),
-                                               F.count(F.when(F.col("label") == 1, 1)).alias("c"))
-            .limit(MAX_NAMES + 1).collect())
-    if len(rows) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} distinct names to split by")
-    return {r["name"]: {0: r["b"], 1: r["c"]} for r in rows}
+def _first_names(names: DataFrame, n: int, total: int, seed: int) -> Callable[[Column], Column]:
+    """Test for the first ``n`` of ``total`` distinct names by hash; it needs the cut alone, not the names."""
+    last = find_cuts(names, F.lit("n"), {"n": [n]}, {"n": total}, "name", seed)["n"][0].hash
+    return lambda name: hash_order(name, seed) <= last
+
+
+def _given_names(names: set[str]) -> Callable[[Column], Column]:
+    return lambda name: F.coalesce(name.isin(*sorted(names)), F.lit(False))
 
 
 def stratified_two_way(df: DataFrame, fraction: float = VAL_FRACTION, seed: int = 42, part: str = "val",
@@ -98,35 +100,37 @@ def random_stratified(df: DataFrame, val: float = VAL_FRACTION, test: float = TE
                    {str(c): [("test", t[c]), ("val", v[c])] for c in n}, seed, sample_id)
 
 
-def _separate_families(df: DataFrame, test_families: set[str], families: dict[str, int], benign: int, val: float,
+def _separate_families(df: DataFrame, away: Callable[[Column], Column], families: DataFrame, benign: int, val: float,
                        test: float, seed: int, sample_id: str) -> DataFrame:
     """Whole families to test, a share of benign rows to test, the rest into train and validation."""
-    kept = sum(n for f, n in families.items() if f not in test_families)
+    out = away(F.col("name"))
+    n = families.agg(*[F.coalesce(F.sum(F.when(c, F.col("c"))), F.lit(0)) for c in (out, ~out)]).first()
+    gone, kept = n[0], n[1]
     benign_test = min(max(1, int(benign * test)), benign)
     v = _val_sizes({0: benign - benign_test, 1: kept}, val)
-    group = (F.when(F.col("label") == 0, "benign")
-             .when(split_key("family").isin(*sorted(test_families)), "away").otherwise("kept"))
-    return _assign(df, group, {"benign": benign, "kept": kept, "away": sum(families.values()) - kept},
-                   {"benign": [("test", benign_test), ("val", v[0])], "kept": [("val", v[1])],
-                    "away": [("test", sum(families.values()) - kept)]}, seed, sample_id)
+    group = F.when(F.col("label") == 0, "benign").when(away(split_key("family")), "away").otherwise("kept")
+    return _assign(df, group, {"benign": benign, "kept": kept, "away": gone},
+                   {"benign": [("test", benign_test), ("val", v[0])], "kept": [("val", v[1])], "away": [("test", gone)]}, seed, sample_id)
 
 
-def _families(df: DataFrame) -> tuple[dict[str, int], int]:
+def _families(df: DataFrame) -> tuple[DataFrame, int, int]:
+    """Families with positive rows, how many they are, and all benign rows."""
     counts = _named_counts(df, split_key("family"))
-    return {f: n[1] for f, n in counts.items() if n[1]}, sum(n[0] for n in counts.values())
+    families = counts.filter(F.col("c") > 0)
+    return families, families.count(), counts.agg(F.coalesce(F.sum("b"), F.lit(0))).first()[0]
 
 
 def family_separated(df: DataFrame, val: float = VAL_FRACTION, test: float = TEST_FRACTION, seed: int = 42,
                      held_out_families: set[str] | None = None, min_families: int = 1,
                      sample_id: str = "sample_id") -> DataFrame:
     """No command-and-control family is in both train and test."""
-    families, benign = _families(df)
+    families, known, benign = _families(df)
     if held_out_families:
-        chosen = set(held_out_families) & set(families)
+        away = _given_names(held_out_families)
     else:
-        n = min(max(min_families, int(len(families) * test)), len(families) - min_families)
-        chosen = set(_order(families, seed)[:max(n, 0)])
-    return _separate_families(df, chosen, families, benign, val, test, seed, sample_id)
+        n = min(max(min_families, int(known * test)), known - min_families)
+        away = _first_names(families, max(n, 0), known, seed)
+    return _separate_families(df, away, families, benign, val, test, seed, sample_id)
 
 
 def zero_shot(df: DataFrame, val: float = VAL_FRACTION, test: float = TEST_FRACTION, seed: int = 42,
@@ -135,12 +139,9 @@ def zero_shot(df: DataFrame, val: float = VAL_FRACTION, test: float = TEST_FRACT
     """Test on families (and, when given, sources) that training never sees."""
     away = F.col("source").isin(*sorted(zero_shot_sources)) if zero_shot_sources else F.lit(False)
     seen = df.filter(~away) if zero_shot_sources else df
-    families, benign = _families(seen)
-    if zero_shot_families:
-        chosen = set(zero_shot_families) & set(families)
-    else:
-        chosen = set(_order(families, seed)[:max(1, int(len(families) * 0.3))])
-    out = _separate_families(seen, chosen, families, benign, val, test, seed, sample_id)
+    families, known, benign = _families(seen)
+    out = _separate_families(seen, _given_names(zero_shot_families) if zero_shot_families else _first_names(families, max(1, int(known * 0.3)), known, seed),
+                             families, benign, val, test, seed, sample_id)
     return out.unionByName(df.filter(away).withColumn("split", F.lit("test"))) if zero_shot_sources else out
 
 
@@ -148,17 +149,18 @@ def source_separated(df: DataFrame, val: float = VAL_FRACTION, test: float = TES
                      sample_id: str = "sample_id") -> DataFrame:
     """Whole sources go to test."""
     counts = _named_counts(df, F.col("source"))
-    if len(counts) < 2:
+    known = counts.count()
+    if known < 2:
         warnings.warn("only one source; using the random stratified split", UserWarning, stacklevel=2)
         return random_stratified(df, val, test, seed, sample_id)
-    n = min(max(1, int(len(counts) * test)), len(counts) - 1)
-    chosen = set(_order(counts, seed)[:n])
-    kept = {c: sum(v[c] for s, v in counts.items() if s not in chosen) for c in (0, 1)}
-    away = sum(sum(v.values()) for s, v in counts.items() if s in chosen)
+    away = _first_names(counts, min(max(1, int(known * test)), known - 1), known, seed)
+    out = away(F.col("name"))
+    n = counts.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in (F.when(out, F.col("b") + F.col("c")), F.when(~out, F.col("b")), F.when(~out, F.col("c")))]).first()
+    gone, kept = n[0], {0: n[1], 1: n[2]}
     v = _val_sizes(kept, val)
-    group = F.when(F.col("source").isin(*sorted(chosen)), "away").otherwise(F.col("label").cast("string"))
-    return _assign(df, group, {"away": away, "0": kept[0], "1": kept[1]},
-                   {"away": [("test", away)], "0": [("val", v[0])], "1": [("val", v[1])]}, seed, sample_id)
+    group = F.when(away(F.col("source")), "away").otherwise(F.col("label").cast("string"))
+    return _assign(df, group, {"away": gone, "0": kept[0], "1": kept[1]},
+                   {"away": [("test", gone)], "0": [("val", v[0])], "1": [("val", v[1])]}, seed, sample_id)
 
 
 def time_separated(df: DataFrame, val: float = VAL_FRACTION, time_quantile: float = 0.70, seed: int = 42,
@@ -171,15 +173,17 @@ def time_separated(df: DataFrame, val: float = VAL_FRACTION, time_quantile: floa
     ends = [int(test_from * (1 - val)), test_from]
     hits = ranked.select(time, "n", (F.col("upto") - F.col("n")).alias("before")).filter(
         " OR ".join(f"({e} > before AND {e} <= before + n)" for e in ends)).collect()
-    tests = []
+    tests, cuts = [], []
     for end, name in zip(ends, ("train", "val")):
         hit = next((r for r in hits if r["before"] < end <= r["before"] + r["n"]), None)
         if hit is None:
             continue
         same = F.col(time) == F.lit(hit[time])
-        h = nth_hashes(df.filter(same), F.lit("t"), {"t": [end - hit["before"]]}, {"t": hit["n"]}, sample_id, seed)["t"][0]
-        tests.append(F.when((F.col(time) < F.lit(hit[time])) | (same & (hash_order(sample_id, seed) <= h)), F.lit(name)))
-    return df.withColumn("split", F.coalesce(*tests, F.lit("test")))
+        last = find_cuts(df.filter(same), F.lit("t"), {"t": [end - hit["before"]]}, {"t": hit["n"]}, sample_id, seed)["t"][0]
+        cuts.append(last)
+        tests.append(F.when((F.col(time) < F.lit(hit[time])) | (same & last.holds(hash_order(sample_id, seed))), F.lit(name)))
+    numbered = with_copies(df, F.col(time), cuts, sample_id, seed)
+    return numbered.withColumn("split", F.coalesce(*tests, F.lit("test"))).drop(COPY)
 
 
 def split_sessions(df: DataFrame, strategy: str = "family_separated", val: float = VAL_FRACTION, test: float = TEST_FRACTION,

@@ -50,22 +50,20 @@ def binetflow_to_sessions(spark: SparkSession, paths: Sequence[str], timeout: fl
     return _some(SS.build_sessions(binetflow_to_flows(spark, paths, skew=skew), timeout=timeout, min_flows=min_flows, skew=skew))
 
 
-def labelled_tree_to_flows(spark: SparkSession, root: str, max_benign_files: int | None = None, max_c2_files: int | None = None,
-                           skew: SkewConfig | None = SKEW) -> tuple[DataFrame, DataFrame]:
+def labelled_tree_to_flows(spark: SparkSession, root: str, skew: SkewConfig | None = SKEW) -> tuple[DataFrame, DataFrame]:
     """Labelled directory tree to flows; also the files that could not be read.
 
     Windows run per file for inter-arrival times, as each file is one capture.
     """
-    found = zeek.read_labelled_zeek(spark, root, max_benign_files, max_c2_files)
+    found = zeek.read_labelled_zeek(spark, root)
     flows = _features(_zeek_flows(found.rows), True, ("label", "capture_id", "source", "source_file", "uid"), ("source_file",) + FLOW_KEY, skew)
     return flows, found.rejected
 
 
 def labelled_tree_to_sessions(spark: SparkSession, root: str, min_flows: int = 3, timeout: float = INACTIVITY_TIMEOUT,
-                              max_benign_files: int | None = None, max_c2_files: int | None = None,
                               skew: SkewConfig | None = SKEW) -> DataFrame:
     """Sessions of each class over all its files."""
-    flows, _ = labelled_tree_to_flows(spark, root, max_benign_files, max_c2_files, skew)
+    flows, _ = labelled_tree_to_flows(spark, root, skew)
     flows = flows.withColumn("class", F.col("label"))
     return _some(SS.build_sessions(flows, timeout=timeout, min_flows=min_flows, extra_keys=("class",), carry=("source", "capture_id"), skew=skew)
                  .withColumn("shuffle_key", F.md5("session_id")))

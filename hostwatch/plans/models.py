@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -162,7 +162,8 @@ def rf_baseline(df: DataFrame, features: Sequence[str] | None = None, ratio: flo
                 trees: int = 200, depth: int = 20, leaf: int = 5, min_flows: int = 3, seed: int = 42) -> tuple[Detector, DataFrame, DataFrame]:
     """Random forest on pooled features: undersampled training part, balanced weights, threshold tuned for F1 on validation.
 
-    Returns the detector, the scores of the test part and the feature importances.
+    Returns the detector, the scores of the test part and the feature importances.  The scaler is a stage of the model, so
+    the detector scores pooled sessions (or the given columns as a vector) as it did when it was fitted, also after saving.
     """
     if features is None:
         df, features = SS.pool_sessions(SS.min_flows(df, min_flows)), SS.pooled_names()
@@ -171,18 +172,17 @@ def rf_baseline(df: DataFrame, features: Sequence[str] | None = None, ratio: flo
     outer = cut(outer)
     inner = SP.stratified_two_way(outer.filter(F.col("outer") == "train"), val, seed + 1)
     small = SA.undersample(inner.filter(F.col("split") == "train"), ratio, seed)
-    stats = small.agg(*[e for f in features for e in (F.avg(f).alias(f"{f}__m"), F.stddev_pop(f).alias(f"{f}__s"))]).first()
 
-    def scaled(frame: DataFrame) -> DataFrame:
-        columns = [((F.col(f) - F.lit(stats[f"{f}__m"])) / F.lit(stats[f"{f}__s"] or 1.0)).alias(f) for f in features]
-        return as_vectors(frame.select("sample_id", "label", *columns), features).select("sample_id", "label", "features")
+    def vectors(frame: DataFrame) -> DataFrame:
+        return as_vectors(frame.select("sample_id", "label", *features), features).select("sample_id", "label", "features")
 
-    forest = RandomForestClassifier(labelCol="label", featuresCol="features", weightCol="weight", numTrees=trees, maxDepth=depth,
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
+    forest = RandomForestClassifier(labelCol="label", featuresCol="scaled", weightCol="weight", numTrees=trees, maxDepth=depth,
                                     minInstancesPerNode=leaf, seed=seed)
-    model = Pipeline(stages=[forest]).fit(cut(balanced_weights(scaled(small))))
-    best = M.best_f1_threshold(score(scaled(inner.filter(F.col("split") == "val")), model)).first()
-    scored = score(scaled(outer.filter(F.col("outer") == "test")), model)
-    return Detector(model, best["threshold"]), scored, importances(model, features)
+    model = Pipeline(stages=[scaler, forest]).fit(cut(balanced_weights(vectors(small))))
+    best = M.best_f1_threshold(score(vectors(inner.filter(F.col("split") == "val")), model)).first()
+    scored = score(vectors(outer.filter(F.col("outer") == "test")), model)
+    return Detector(model, best["threshold"], transforms=TR.TransformConfig(log_scale=())), scored, importances(model, features)
 
 
 def importances(model: PipelineModel, features: Sequence[str]) -> DataFrame:

@@ -19,8 +19,8 @@ def _with_file(df: DataFrame) -> DataFrame:
 
 
 def read_binetflow(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Argus exports, raw columns as text."""
-    return _with_file(spark.read.csv(list(paths), header=True, inferSchema=False))
+    """Argus exports, raw columns as text; files may order their columns differently."""
+    return read_delimited(spark, paths, ",")
 
 
 def detect_separator(header: str) -> str:

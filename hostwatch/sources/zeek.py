@@ -110,22 +110,14 @@ def read_zeek(spark: SparkSession, paths: Sequence[str], required: Sequence[str]
     return LogScan(require_columns(rows, required, "log"), bad)
 
 
-def labelled_files(spark: SparkSession, root: str, max_benign_files: int | None = None,
-                   max_c2_files: int | None = None) -> list[str]:
-    """``conn.log`` files below ``root`` (or ``conn*.log`` where there is none), optionally capped per class."""
-    files = list_files(spark, root, "conn.log") or list_files(spark, root, "conn*.log")
-    if max_benign_files is None and max_c2_files is None:
-        return files
-    named = spark.createDataFrame([(f,) for f in files], "path string")
-    c2 = {r["path"] for r in named.filter(L.label_from_path(L.relative_path("path", root)) == 1).collect()}
-    first, rest = [f for f in files if f in c2], [f for f in files if f not in c2]
-    return first[:max_c2_files] + rest[:max_benign_files]
-
-
-def read_labelled_zeek(spark: SparkSession, root: str, max_benign_files: int | None = None,
-                       max_c2_files: int | None = None) -> LogScan:
+def labelled_files(spark: SparkSession, root: str) -> list[str]:
+    """``conn.log`` files below ``root`` (or ``conn*.log`` where there is none)."""
+    return list_files(spark, root, "conn.log") or list_files(spark, root, "conn*.log")
+
+
+def read_labelled_zeek(spark: SparkSession, root: str) -> LogScan:
     """A directory tree of logs with label, class and capture taken from the paths; bad files are set aside."""
-    files = labelled_files(spark, root, max_benign_files, max_c2_files)
+    files = labelled_files(spark, root)
     found = read_zeek(spark, files, on_error="quarantine")
     rel = L.relative_path("source_file", root)
     rows = found.rows.withColumns({"label": L.label_from_path(rel), "path_class": L.path_class(rel),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hostwatch.operators import drift as DR, metrics as M
 from hostwatch.plans import models as ML
+from hostwatch.sources.datasets import load_model, save_model
 from test_sessions import stored
 
 
@@ -146,6 +147,21 @@ def test_forest(labelled):
     assert ML.top_importances(table).count() == 10 and table.count() == 48
 
 
+def test_forest_scores_alike_after_saving(spark, labelled, tmp_path):
+    detector, test, _ = ML.rf_baseline(labelled, trees=5, depth=4)
+    want = {r.sample_id: r.score for r in test.collect()}
+
+    def scores(d):
+        return {r.sample_id: r.score for r in ML.score(ML.as_vectors(ML.apply_saved(labelled, d)), d.model).collect() if r.sample_id in want}
+
+    save_model(detector.model, detector.operating_point(), str(tmp_path / "forest"))
+    again = ML.detector_from(*load_model(spark, str(tmp_path / "forest")))
+    for d in (detector, again):
+        got = scores(d)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert again.threshold == detector.threshold
+
+
 def test_ablation(labelled):
     df = ML.ablation(labelled, labelled, {"baseline": (), "drop": ("orig_bytes",)}, candidates=fast(), budget=0.05)
     got = {(r.variant, r.dataset): r for r in df.collect()}

@@ -120,3 +120,19 @@ def test_global_running_sum_and_quantiles(spark):
         assert quant[g] == pytest.approx((min(xs), float(np.median(xs)), float(np.quantile(xs, 0.95))))
     ranks = {r.v: r["rank"] for r in R.global_rank(df, "v").collect()}
     assert all(ranks[v] == 1 + sum(x < v for _, x in data) for v in ranks)
+
+
+def test_ranks_over_many_groups_texts_and_dates(spark, monkeypatch):
+    df = spark.range(6000).selectExpr("id % 1500 AS g", "cast(id % 7 AS double) AS v", "concat('t', id % 50) AS t", "date_add(date'2024-01-01', cast(id % 40 AS int)) AS d")
+    got = {r.g: r.m for r in R.exact_quantiles(df, "v", {"m": 0.5}, by=["g"]).collect()}
+    want = {r.g: r.m for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
+    assert got == want
+    monkeypatch.setattr(R, "LEVEL_PARTS", 4)
+    for order in ("t", "d", "v"):
+        for down in (False, True):
+            counts = df.groupBy(order).agg(F.count("*").alias("n"))
+            rows = [tuple(r) for r in R.global_running_sum(counts, order, {"c": "n"}, descending=down, parts=10).select(order, "n", "c", "c_total").collect()]
+            total = 0
+            for value, n, c, all_ in sorted(rows, reverse=down):
+                total += n
+                assert c == total and all_ == 6000

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from hostwatch.config import FEATURES
+from hostwatch.config import FEATURES, SkewConfig
 from hostwatch.operators import behaviour as B, sessions as SS, transforms as TR
 
 FLOW = "flow_id bigint, ts double, src_ip string, dst_ip string, proto string, label int"
@@ -127,3 +127,11 @@ def test_risk_levels(spark):
                                "host_anomaly double, behavioral double, persistence double, ml_score double, tls_dns double, beaconing double")
     got = [(round(r.risk_score, 3), r.aligned_signals, r.risk_level) for r in B.risk_score(df).collect()]
     assert got == [(0.85, 4, "high"), (0.55, 2, "medium"), (0.03, 0, "low")]
+
+
+def test_session_numbers_with_repeated_rows(spark):
+    rows = [("a", "b", "tcp", t, f) for t, f in ((1.0, "x"), (1.0, "x"), (2.0, "y"), (900.0, "z"), (900.0, "z"))]
+    df = spark.createDataFrame(rows, "src_ip string, dst_ip string, proto string, ts double, flow_id string")
+    for skew in (None, SkewConfig(hot_rows=2)):
+        got = SS.sessionize(df, 300.0, numbered=True, skew=skew).orderBy("ts").collect()
+        assert [r.session_no for r in got] == [1, 1, 1, 2, 2] and "_cut" not in got[0].asDict()

@@ -72,7 +72,7 @@ def test_labelled_tree(spark, tree):
     assert rejected.count() == 1 and "misc2" in rejected.first().path
     sessions = ingest.labelled_tree_to_sessions(spark, tree)
     assert sorted((r.label, r.all_flows) for r in sessions.collect()) == [(0, 3), (0, 5), (1, 4)]
-    assert len(zeek.labelled_files(spark, tree, max_benign_files=1, max_c2_files=0)) == 1
+    assert len(zeek.labelled_files(spark, tree)) == 4
     assert zeek.read_aux_logs(spark, tree, "ssl").first().version == "TLSv12" and zeek.read_aux_logs(spark, tree, "dns") is None
     with pytest.raises(FileNotFoundError):
         zeek.labelled_files(spark, tree + "/none")
@@ -173,3 +173,10 @@ def test_dataset_builds(spark, tmp_path, sessions):
     tl = DS.read_timelines(spark, out["timelines"], keys=("split", "host_id"))
     assert tl.host_sessions.count() == stored.count()
     assert tl.host_profile.filter("split = 'train'").count() == stored.filter("split = 'train'").select("host_id").distinct().count()
+
+
+def test_argus_files_of_different_column_order(spark, tmp_path):
+    (tmp_path / "a.binetflow").write_text("StartTime,SrcAddr,DstAddr,Label\n2011/08/10 09:46:53,10.0.0.1,8.8.8.8,x\n")
+    (tmp_path / "b.binetflow").write_text("StartTime,DstAddr,SrcAddr,Label\n2011/08/10 09:46:54,8.8.4.4,10.0.0.2,y\n")
+    got = delimited.read_binetflow(spark, [str(tmp_path / n) for n in ("a.binetflow", "b.binetflow")]).select("SrcAddr", "DstAddr", "Label")
+    assert sorted(map(tuple, got.collect())) == [("10.0.0.1", "8.8.8.8", "x"), ("10.0.0.2", "8.8.4.4", "y")]

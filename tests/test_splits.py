@@ -106,6 +106,27 @@ def test_nth_hashes_in_large_groups(spark, monkeypatch):
     assert got == [SA.NOTHING, hashes[0], hashes[76], hashes[1998], SA.EVERYTHING]
 
 
+def test_exact_sizes_with_repeated_ids(spark, monkeypatch):
+    ids = spark.range(300).selectExpr("CASE WHEN id < 200 THEN 7 ELSE id END AS sample_id", "id % 3 AS x", "0 AS label")
+    for small in (10_000, 4):  # 4: the copies of one id are more than are ever listed
+        monkeypatch.setattr(SA, "SMALL", small)
+        for n in (0, 1, 50, 149, 250, 300):
+            kept = SA.keep_benign(ids, n, 300)
+            assert kept.count() == n and kept.columns == ids.columns
+    rows = ids.withColumn("label", (F.col("sample_id") % 5 == 0).cast("int")).withColumn("start_ts", F.lit(3.0))
+    for split in (SP.random_stratified(rows), SP.time_separated(rows)):
+        got = {r.split: r["count"] for r in split.groupBy("split").count().collect()}
+        assert sum(got.values()) == 300 and split.columns == [*rows.columns, "split"]
+    assert got == {"train": int(210 * 0.85) if "val" in got else 210, **({"val": 210 - int(210 * 0.85)} if "val" in got else {}), "test": 90}
+
+
+def test_many_families_and_sources(spark):
+    rows = spark.range(24_000).selectExpr("id AS sample_id", "cast(id % 2 AS int) AS label", "concat('f', id % 11000) AS c2_family", "concat('s', id % 12000) AS source", "cast(id AS double) AS start_ts")
+    for split, key in ((SP.family_separated(rows), "c2_family"), (SP.source_separated(rows), "source")):
+        test, rest = (split.filter(c).filter("label = 1").select(key).distinct() for c in ("split = 'test'", "split != 'test'"))
+        assert test.count() > 500 and test.join(rest, key).count() == 0
+
+
 def test_sampling(samples):
     c2, benign = samples.filter("label = 1"), samples.filter("label = 0")
     assert SA.mix(c2.limit(30), benign, 0.15).count() == 200
