@@ -186,7 +186,7 @@ def _with_id(df):
     return df.withColumn("session_id", SS.session_id())
 
 
-@query("f01_timing_shape", f"""WITH {sql.TAGGED}, m AS (SELECT session_id, avg(iat) AS mu, stddev_pop(iat) AS sd, quantile_disc(iat, 0.5) AS med FROM tagged GROUP BY session_id),
+@query("f01_timing_shape", f"""WITH {sql.TAGGED}, m AS (SELECT session_id, avg(iat) AS mu, stddev_pop(iat) AS sd, quantile_cont(iat, 0.5) AS med FROM tagged GROUP BY session_id),
   c AS (SELECT t.session_id, avg((iat - mu) ** 3) AS m3, avg((iat - mu) ** 4) AS m4 FROM tagged t JOIN m USING (session_id) GROUP BY t.session_id)
   SELECT session_id, round(CASE WHEN mu > 1e-9 THEN sd / mu ELSE 0 END, 5) AS iat_cv, round(CASE WHEN med > 1e-9 THEN sd / med ELSE 0 END, 5) AS iat_jitter,
     round(CASE WHEN sd < 1e-9 THEN 0 ELSE m3 / sd ** 3 END, 5) AS iat_skew, round(CASE WHEN sd < 1e-9 THEN 0 ELSE m4 / sd ** 4 - 3 END, 5) AS iat_kurtosis

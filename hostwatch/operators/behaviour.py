@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hostwatch.config import SESSION_KEY, SKEW, FusionConfig, SkewConfig, TimelineConfig
 from hostwatch.functions import scalars as S
 from hostwatch.operators.ordered import KeyedRows
+from hostwatch.operators.rank import exact_quantiles
 from hostwatch.operators.timeline import HOST, ORDERS
 
 
@@ -28,12 +29,12 @@ def _grouped_entropy(df: DataFrame, keys: Sequence[str], name: str, *bins: Colum
 def timing_shape(tagged: DataFrame, keys: Sequence[str] = SESSION_KEY) -> DataFrame:
     """Spread and shape of the inter-arrival times of a session.
 
-    The median is the lower one, exact for sessions of up to ten thousand flows and with a bounded
-    state beyond.
+    The median is exact and interpolated for sessions of any length: equal values are counted and ranked by a distributed scan.
     """
+    medians = exact_quantiles(tagged.select(*keys, "iat"), "iat", {"_median": 0.5}, by=keys)
     out = tagged.groupBy(*keys).agg(
-        F.avg("iat").alias("_mean"), F.stddev_pop("iat").alias("_std"), F.percentile_approx("iat", 0.5, 10_000).alias("_median"),
-        F.skewness("iat").alias("_skew"), F.kurtosis("iat").alias("_kurt"))
+        F.avg("iat").alias("_mean"), F.stddev_pop("iat").alias("_std"),
+        F.skewness("iat").alias("_skew"), F.kurtosis("iat").alias("_kurt")).join(medians, list(keys), "left")
     flat = F.col("_std") < S.EPS
     return out.select(*keys, S.ratio_or_zero(F.col("_std"), F.col("_mean"), S.EPS).alias("iat_cv"),
                       S.ratio_or_zero(F.col("_std"), F.col("_median"), S.EPS).alias("iat_jitter"),
@@ -50,15 +51,6 @@ def burstiness(tagged: DataFrame, keys: Sequence[str] = SESSION_KEY, bucket: flo
     return counts.groupBy(*keys).agg(((F.sum(F.col("_c") * F.col("_c")) / slots - mean * mean) / mean).alias("burstiness_index"))
 
 
-def behaviour_features(tagged: DataFrame, keys: Sequence[str] = SESSION_KEY) -> DataFrame:
-    """All flow-based features of sessions (needs flows tagged with their session)."""
-    out = timing_shape(tagged, keys)
-    for part in (burstiness(tagged, keys), _grouped_entropy(tagged, keys, "timing_entropy", _log_bin("iat")),
-                 _grouped_entropy(tagged, keys, "size_entropy", _log_bin("bytes_per_pkt"))):
-        out = out.join(part, list(keys))
-    return out
-
-
 def size_entropy(tagged: DataFrame, keys: Sequence[str] = SESSION_KEY) -> DataFrame:
     return _grouped_entropy(tagged, keys, "size_entropy", _log_bin("bytes_per_pkt"))
 
