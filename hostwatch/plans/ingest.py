@@ -71,13 +71,15 @@ def labelled_tree_to_sessions(spark: SparkSession, root: str, min_flows: int = 3
 
 def mixed_to_sessions(spark: SparkSession, c2_inputs: Sequence[str] = (), benign_inputs: Sequence[str] = (), min_flows: int = 5,
                       timeout: float = INACTIVITY_TIMEOUT, skew: SkewConfig | None = SKEW) -> DataFrame:
-    """Flow files of any supported format to labelled sessions; every file is its own capture."""
+    """Flow files of any supported format to labelled sessions; every file is its own capture.
+
+    Inputs are files, folders or glob patterns.  The plan has a branch per layout of the files, not per file.
+    """
     if not c2_inputs and not benign_inputs:
         raise ValueError("give at least one input file")
     parts: dict[str, list[DataFrame]] = {"zeek": [], "other": []}
     for label, paths in ((1, c2_inputs), (0, benign_inputs)):
-        for path in paths:
-            raw, kind = delimited.read_flows(spark, path)
+        for kind, raw in delimited.read_flow_files(spark, paths):
             if kind == "zeek":
                 df = _zeek_flows(raw)
             else:

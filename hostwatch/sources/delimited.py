@@ -28,22 +28,59 @@ def detect_separator(header: str) -> str:
     return max(SEPARATORS, key=lambda s: (header.count(s), -SEPARATORS.index(s)))
 
 
-def read_delimited(spark: SparkSession, paths: Sequence[str], sep: str | None = None) -> DataFrame:
-    """Delimited files with a header; the separator is detected per file unless given.
-
-    Files are grouped by their header line, each group is one scan.
-    """
+def layouts(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
+    """Files (given by name, folder or glob pattern) by their header line."""
+    paths = zeek.expand(spark, paths)
     with ThreadPoolExecutor(16) as pool:
         heads = list(pool.map(lambda p: (zeek.leading_lines(spark, p) or [""])[0], paths))
     groups: dict[str, list[str]] = {}
     for path, head in zip(paths, heads):
         groups.setdefault(head, []).append(path)
-    if not groups:
-        raise ValueError("no input files given")
+    return groups
+
+
+def read_layout(spark: SparkSession, head: str, files: Sequence[str], sep: str | None = None) -> DataFrame:
+    """Files of one header line as one scan, all columns as text."""
+    return _with_file(spark.read.csv(list(files), sep=sep or detect_separator(head), header=True, inferSchema=False))
+
+
+def read_delimited(spark: SparkSession, paths: Sequence[str], sep: str | None = None) -> DataFrame:
+    """Delimited files with a header; the separator is detected per file unless given.
+
+    Files are grouped by their header line, each group is one scan.
+    """
     out = None
-    for head, files in groups.items():
-        part = _with_file(spark.read.csv(files, sep=sep or detect_separator(head), header=True, inferSchema=False))
+    for head, files in layouts(spark, paths).items():
+        part = read_layout(spark, head, files, sep)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no input files given")
+    return out
+
+
+def _format_of(path: str) -> str:
+    name = os.path.basename(path.lower())
+    return "binetflow" if name.endswith(".binetflow") else "zeek" if name.endswith(".log") or "conn" in name else "delimited"
+
+
+def read_flow_files(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, DataFrame]]:
+    """Raw flows of files of mixed formats: one (format, rows) per layout, however many files share it.
+
+    Formats go by name as in :func:`read_flows`; logs without a usable Zeek header are read as delimited files.
+    """
+    named: dict[str, list[str]] = {}
+    for path in zeek.expand(spark, paths):
+        named.setdefault(_format_of(path), []).append(path)
+    out, others = [], named.get("delimited", [])
+    if logs := named.get("zeek"):
+        fields = zeek.headers(spark, logs)
+        usable = [p for p in logs if set(zeek.ZEEK_REQUIRED) <= set(fields.get(p, ()))]
+        others = others + [p for p in logs if p not in set(usable)]
+        if usable:
+            out.append(("zeek", zeek.read_zeek(spark, usable).rows))
+    for kind, files in (("binetflow", named.get("binetflow", [])), ("delimited", others)):
+        if files:
+            out += [(kind, read_layout(spark, head, same, "," if kind == "binetflow" else None)) for head, same in layouts(spark, files).items()]
     return out
 
 
@@ -53,8 +90,7 @@ def read_flows(spark: SparkSession, path: str, format: str | None = None) -> tup
     By name: ``.binetflow`` is Argus; ``.log`` or a name with "conn" is Zeek, with the delimited reader as
     the way out when the file has no Zeek header.
     """
-    name = os.path.basename(path.lower())
-    guess = format or ("binetflow" if name.endswith(".binetflow") else "zeek" if name.endswith(".log") or "conn" in name else "delimited")
+    guess = format or _format_of(path)
     if guess == "binetflow":
         return read_binetflow(spark, [path]), guess
     if guess == "zeek":

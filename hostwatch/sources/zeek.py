@@ -78,12 +78,13 @@ def scan(spark: SparkSession, paths: Sequence[str], fields: Sequence[str]) -> Da
 
 def read_zeek(spark: SparkSession, paths: Sequence[str], required: Sequence[str] = ZEEK_REQUIRED,
               on_error: str = "raise") -> LogScan:
-    """Read logs of any column order.  Files are grouped by header; each group is one scan.
+    """Read logs of any column order; ``paths`` may be files, folders or glob patterns.  Files are grouped by header; each
+    group is one scan.
 
     A file without a header or required columns raises, or with ``on_error="quarantine"`` is listed in
     ``rejected``.
     """
-    paths = [_qualified(spark, p) for p in paths]
+    paths = expand(spark, paths)
     found = headers(spark, paths)
     groups: dict[tuple[str, ...], list[str]] = {}
     rejected: list[tuple[str, str]] = []
@@ -133,6 +134,17 @@ def read_aux_logs(spark: SparkSession, root: str, kind: str) -> DataFrame | None
     return read_zeek(spark, files, required=(), on_error="quarantine").rows if files else None
 
 
-def _qualified(spark: SparkSession, path: str) -> str:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+def expand(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Full file names for files, folders (all files below them) and glob patterns, in the order given."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out = []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        found = fs.globStatus(p)
+        if found is None or not len(found):
+            raise FileNotFoundError(path)
+        for status in found:
+            name = status.getPath().toString()
+            out += list_files(spark, name, "*") if status.isDirectory() else [fs.makeQualified(status.getPath()).toString()]
+    return out

@@ -180,3 +180,14 @@ def test_argus_files_of_different_column_order(spark, tmp_path):
     (tmp_path / "b.binetflow").write_text("StartTime,DstAddr,SrcAddr,Label\n2011/08/10 09:46:54,8.8.4.4,10.0.0.2,y\n")
     got = delimited.read_binetflow(spark, [str(tmp_path / n) for n in ("a.binetflow", "b.binetflow")]).select("SrcAddr", "DstAddr", "Label")
     assert sorted(map(tuple, got.collect())) == [("10.0.0.1", "8.8.8.8", "x"), ("10.0.0.2", "8.8.4.4", "y")]
+
+
+def test_folders_globs_and_few_branches(spark, tmp_path):
+    for n in range(30):
+        folder = tmp_path / f"d{n % 3}"
+        folder.mkdir(exist_ok=True)
+        (folder / f"f{n}.csv").write_text(("a,b\n" if n % 2 else "b,a\n") + f"{n},{n}\n")
+    assert delimited.read_delimited(spark, [str(tmp_path)]).count() == 30 == delimited.read_delimited(spark, [str(tmp_path / "d*/f*.csv")]).count()
+    assert len(delimited.read_flow_files(spark, [str(tmp_path / "d0"), str(tmp_path / "d[12]")])) == 2
+    with pytest.raises(FileNotFoundError):
+        delimited.read_delimited(spark, [str(tmp_path / "none*")])
