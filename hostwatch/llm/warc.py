@@ -14,6 +14,8 @@ import html
 import json
 import re
 import uuid
+from functools import lru_cache
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,6 +66,7 @@ def parse(record: bytes) -> tuple[list[tuple[str, str]], bytes] | None:
 def text_of(source: str) -> tuple[str, str, list[tuple[str, str]], list[tuple[str, str]]]:
     """Plain text, title, links (kind, address) and meta tags of an HTML source."""
     out, links, metas, at, title_from, title = [], [], [], 0, None, ""
+    source = source.replace("\0", " ")  # zero marks where lines end
     for m in _MARKUP.finditer(source):
         out.append(source[at:m.start()])
         at = m.end()
@@ -71,12 +74,12 @@ def text_of(source: str) -> tuple[str, str, list[tuple[str, str]], list[tuple[st
         if not tag:
             continue
         if tag in _BLOCK_TAGS:
-            out.append("\n")
+            out.append("\0")
         if tag == "title":
             if not m[2]:
                 title_from = len(out)
             elif title_from is not None:
-                title = title or " ".join(html.unescape("".join(out[title_from:])).split())
+                title = title or " ".join(html.unescape("".join(out[title_from:]).replace("\0", " ")).split())
                 title_from = None
         if m[4] and not m[2]:
             attributes = {a[1].lower(): html.unescape(next((v for v in a.groups()[1:] if v is not None), "")) for a in _ATTRIBUTE.finditer(m[4])}
@@ -85,13 +88,14 @@ def text_of(source: str) -> tuple[str, str, list[tuple[str, str]], list[tuple[st
                 name = attributes.get("name") or attributes.get("property") or attributes.get("http-equiv")
                 metas += [(name, attributes["content"])] if name and "content" in attributes else [("charset", attributes["charset"])] if "charset" in attributes else []
     out.append(source[at:])
-    lines = (" ".join(line.split()) for line in "".join(re.sub(r"[^\S\n]+|\n", " ", p) if p != "\n" else p for p in out).split("\n"))
+    lines = (" ".join(line.split()) for line in "".join(out).split("\0"))
     return html.unescape("\n".join(line for line in lines if line)), title, links, metas
 
 
+@lru_cache(4096)
 def _resolved(base: str, address: str) -> str:
-    from urllib.parse import urljoin
-
+    if address.startswith(("http://", "https://")) and "/." not in address:
+        return address
     try:
         return urljoin(base, address)
     except ValueError:
