@@ -14,7 +14,6 @@ FEATURES = (
     "bytes_per_pkt", "packet_ratio", "byte_ratio", "is_outbound",
     "duration", "src_port", "dst_port", "iat",
 )
-DELTA_FEATURES = ("iat_delta", "byte_delta")
 POOL_STATS = ("mean", "std", "min", "max")
 
 SESSION_LEN = 20
@@ -23,11 +22,8 @@ VAL_FRACTION = 0.15
 TEST_FRACTION = 0.15
 BENIGN, C2 = 0, 1
 
-FOCAL_ALPHA = 0.5
-FOCAL_GAMMA = 1.0
 FPR_BUDGET_V1 = 0.005
 FPR_BUDGET = 0.015
-FPR_BUDGET_UPPER = 0.03
 DAILY_FLOWS = 1_000_000
 
 ZEEK_REQUIRED = (
@@ -87,12 +83,6 @@ DATASET_SOURCES = (
     "ctu13", "uwf_zeekdata24", "mcfp_stratosphere", "cicids2018", "ciciot2023",
     "custom_lab", "unknown",
 )
-C2_FAMILIES = (
-    "neris", "rbot", "virut", "menti", "sogou", "murlo", "emotet", "trickbot", "qakbot",
-    "sliver", "havoc", "cobalt_strike", "mythic", "brute_ratel", "metasploit",
-    "covenant", "poshc2", "unknown_c2",
-)
-
 # ---------------------------------------------------------------------------
 
 FLOW_KEY = ("src_ip", "dst_ip", "proto")
@@ -105,7 +95,6 @@ class TimelineConfig:
     """Host timeline settings."""
 
     min_sessions: int = 10
-    rolling_window: float = 3600.0
     decay: float = 0.95
     max_history: int = 1000
     idle_hours: tuple[int, ...] = (0, 1, 2, 3, 4, 5)
@@ -131,13 +120,11 @@ class SkewConfig:
     """When to split one key over several tasks.
 
     A key with more than ``hot_rows`` rows is cut into ordered slices of about ``slice_rows`` rows.
-    The list of hot keys is broadcast, so it is limited to ``max_keys`` entries; by counting, the
-    first key beyond that list holds less than 1/max_keys of all rows.
+    Any number of keys may be hot.
     """
 
     hot_rows: int = 4_000_000
     slice_rows: int = 1_000_000
-    max_keys: int = 20_000
 
 
 SKEW = SkewConfig()

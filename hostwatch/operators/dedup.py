@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hostwatch.config import SKEW, SkewConfig
+from hostwatch.operators.lineage import cut
+from hostwatch.operators.ordered import SENT_KEYS
 
 SALTS = 64
 
@@ -34,11 +36,12 @@ def unseen(candidate: DataFrame, corpus: DataFrame, key: str = "content", skew:
     """
     known = corpus.select(key).distinct()
     hot = (candidate.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > skew.hot_rows)
-           .orderBy(F.desc("_n")).limit(skew.max_keys).select(key, F.lit(True).alias("_hot")))
-    found = hot.collect()
-    if not found:
+           .select(key, F.lit(True).alias("_hot")))
+    marks = cut(hot)
+    if marks.isEmpty():
         return candidate.join(known, key, "left_anti")
-    marks = F.broadcast(candidate.sparkSession.createDataFrame(found, hot.schema))
+    if marks.count() <= SENT_KEYS:
+        marks = F.broadcast(marks)
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in candidate.columns]), F.lit(SALTS))
     left = candidate.join(marks, key, "left").withColumn(
         "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)).cast("int"))

@@ -11,11 +11,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hostwatch.config import SKEW, SkewConfig
+from hostwatch.operators.lineage import cut
+from hostwatch.operators.rank import bucket_of
 
 SLICE = "_slice"
+SENT_KEYS, MOST_BOUNDS = 10_000, 64  # a table of hot keys that is sent to all tasks: so many rows and cuts a row at most
 
 
 @dataclass(frozen=True)
@@ -42,11 +45,11 @@ class KeyedRows:
         if hot is None:
             return KeyedRows(df, keys, order, False, largest)
         before = order[:order.index(time)]
-        cell = F.floor((F.col(time) - F.col("_low")) / F.col("_width")).cast("bigint")
-        marked = (df.join(F.broadcast(hot), list(keys), "left")
-                  .withColumn(SLICE, F.when(F.col("_width").isNotNull(),
+        cell = bucket_of(F.col(time).cast("double"), F.col("_bounds")).cast("bigint")
+        marked = (df.join(hot, list(keys), "left")
+                  .withColumn(SLICE, F.when(F.col("_bounds").isNotNull(),
                                             F.struct(*[F.col(c) for c in before], cell.alias("_cell"))))
-                  .drop("_low", "_width"))
+                  .drop("_bounds"))
         return KeyedRows(marked, keys, order, True, largest)
 
     def drop(self, *names: str) -> "KeyedRows":
@@ -132,17 +135,19 @@ class KeyedRows:
 
 
 def _hot_keys(df: DataFrame, keys: tuple[str, ...], time: str, skew: SkewConfig) -> tuple[int, DataFrame | None]:
-    """Rows of the largest key and, when there are keys above ``skew.hot_rows``, the start and width of their slices.
+    """Rows of the largest key and, when there are keys above ``skew.hot_rows``, where their slices are cut.
 
-    At most ``skew.max_keys`` rows reach the driver, whatever the size of the data.
+    Slices are cut at approximate quantiles of the time, so a burst is spread as well as a steady key; only rows of
+    one and the same time stay together.  The table of hot keys is sent to all tasks while it is small, else joined.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     largest = counts.agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
     if largest <= skew.hot_rows:
         return largest, None
-    cells = 4 * F.ceil(F.col("_n") / skew.slice_rows)
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(time).alias("_low"), F.max(time).alias("_high"))
-           .filter(F.col("_n") > skew.hot_rows).orderBy(F.desc("_n"), *keys).limit(skew.max_keys)
-           .select(*keys, F.col("_low").cast("double").alias("_low"),
-                   F.greatest((F.col("_high") - F.col("_low")) / cells, F.lit(1e-6)).cast("double").alias("_width")))
-    return largest, df.sparkSession.createDataFrame(hot.collect(), T.StructType(hot.schema.fields))
+    large = cut(counts.filter(F.col("_n") > skew.hot_rows).select(*keys))
+    small = large.count() <= SENT_KEYS
+    parts = 4 * -(-largest // skew.slice_rows)
+    points = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    rows = df.join(F.broadcast(large) if small else large, list(keys))
+    hot = cut(rows.groupBy(*keys).agg(F.percentile_approx(F.col(time).cast("double"), points, 10 * parts).alias("_bounds")))
+    return largest, F.broadcast(hot) if small and parts <= MOST_BOUNDS else hot

@@ -26,7 +26,7 @@ def _place(df: DataFrame, order: str) -> Column:
     return F.col(order).cast("double")
 
 
-def _bucket(value: Column, bounds: Column) -> Column:
+def bucket_of(value: Column, bounds: Column) -> Column:
     """How many ascending bounds lie below the value, by a coarse and a fine search."""
     coarse = F.filter(bounds, lambda b, i: (i % STEP == STEP - 1) & (b < value))
     fine = F.filter(F.slice(bounds, F.size(coarse) * STEP + 1, STEP), lambda b: b < value)
@@ -41,9 +41,9 @@ def _bucketed(rows: DataFrame, by: list[str], parts: int, name: str) -> DataFram
         same = [F.col(f"_by{k}").eqNullSafe(F.col(c)) for k, c in enumerate(by)]
         bounds = bounds.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], "_bounds")
         joined = rows.join(bounds, reduce(lambda a, b: a & b, same)).drop(*[f"_by{k}" for k in range(len(by))])
-        return joined.withColumn(name, _bucket(F.col("_place"), F.col("_bounds"))).drop("_bounds")
+        return joined.withColumn(name, bucket_of(F.col("_place"), F.col("_bounds"))).drop("_bounds")
     edges = bounds.first()["_bounds"] or []  # at most LEVEL_PARTS numbers
-    return rows.withColumn(name, _bucket(F.col("_place"), F.array(*map(F.lit, edges)).cast("array<double>")))
+    return rows.withColumn(name, bucket_of(F.col("_place"), F.array(*map(F.lit, edges)).cast("array<double>")))
 
 
 def global_running_sum(df: DataFrame, order: str, sums: dict[str, str], by: Sequence[str] = (), descending: bool = False,
