@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostwatch.llm.common import cut
+from hostwatch.llm.common import stored
 
 #: Examples in the index at most (a sample by hash beyond), terms of the vocabulary at most, neighbours.
 EXAMPLES, TERMS, NEIGHBOURS = 20_000, 4096, 15
@@ -25,23 +26,26 @@ EXAMPLES, TERMS, NEIGHBOURS = 20_000, 4096, 15
 CHI_SQUARE, LEAST = 40.0, 5
 #: Examples of a block, beginnings of words that are terms, bins of the calibration, words a task counts before it passes counts on.
 BLOCK, BEGINNINGS, BINS, COUNTED = 128, (4, 5), 20, 400_000
+#: Blocks that are looked at before any is left out.
+FIRST_BLOCKS = 8
 THRESHOLD = 0.3
 
 _WORDS = re.compile(r"\w+")
 
 
-def terms_of(text: str | None) -> Counter:
-    """How often each term occurs: lower-case words, and beginnings of longer ones (marked by a sign in front)."""
-    found = Counter(_WORDS.findall((text or "").lower()))
-    out = Counter(found)
-    for word, n in found.items():
-        for length in BEGINNINGS:
-            if len(word) > length:
-                out["^" + word[:length]] += n
-    return out
+def words_of(text: str | None) -> list[str]:
+    return _WORDS.findall((text or "").lower())
+
+
+def _distinct_words(batches):
+    """Texts as their distinct words in order, which is what is shuffled to meet the labels."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(sorted(set(words_of(t.as_py())))) for t in batch.column(1)], pa.string())],
+                                         names=["doc_id", "words"])
 
 
 def _term_counts(batches):
+    """Rows of each label that have a term: a word, or the beginning (marked by a sign in front) of a longer one."""
     counts: dict[str, list[int]] = {}
 
     def rows():
@@ -50,8 +54,9 @@ def _term_counts(batches):
         return pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array(c[:, 0]), pa.array(c[:, 1])], names=["term", "pos", "neg"])
 
     for batch in batches:
-        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-            for term in terms_of(text.as_py()):
+        for words, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words = words.split()
+            for term in (*words, *{"^" + w[:length] for length in BEGINNINGS for w in words if len(w) > length}):
                 counts.setdefault(term, [0, 0])[1 - toxic] += 1
             if len(counts) > COUNTED:
                 yield rows()
@@ -59,34 +64,41 @@ def _term_counts(batches):
         yield rows()
 
 
-def vocabulary(train: DataFrame, terms: int = TERMS) -> list[str]:
-    """The terms that go with label 1, from all of ``train`` (text, toxic), the strongest ``terms`` at most."""
-    of = train.agg(F.sum("toxic"), F.count("*")).first()
-    pos, neg = (of[0] or 0), of[1] - (of[0] or 0)
+def vocabulary(train: DataFrame, pos: int, neg: int, terms: int = TERMS) -> list[str]:
+    """The terms that go with label 1, from all of ``train`` (words, toxic: ``pos`` rows of label 1 and
+    ``neg`` of 0), the strongest ``terms`` at most."""
     if not pos or not neg:
         return []
-    counts = train.select("text", "toxic").mapInArrow(_term_counts, "term string, pos long, neg long").groupBy("term").agg(
+    counts = train.select("words", "toxic").mapInArrow(_term_counts, "term string, pos long, neg long").groupBy("term").agg(
         F.sum("pos").cast("double").alias("a"), F.sum("neg").cast("double").alias("b"))
     a, b, c, d = F.col("a"), F.col("b"), F.lit(float(pos)) - F.col("a"), F.lit(float(neg)) - F.col("b")
-    chi = (a * d - b * c) * (a * d - b * c) * (pos + neg) / ((a + b) * (c + d) * F.lit(float(pos)) * F.lit(float(neg)))
+    chi = F.try_divide((a * d - b * c) * (a * d - b * c) * (pos + neg), (a + b) * (c + d) * F.lit(float(pos)) * F.lit(float(neg)))
     fit = counts.where((F.col("a") >= LEAST) & (a * neg > b * pos)).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE)
     return [r.term for r in fit.orderBy(F.desc("chi"), "term").limit(terms).select("term").collect()]
 
 
 def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
     """``doc_id, terms (numbers), counts`` for every row of ``docs``."""
-    places = {t: k for k, t in enumerate(terms)}
+    places = {t: k for k, t in enumerate(terms) if t[0] != "^"}
+    begins = [(n, {t[1:]: k for k, t in enumerate(terms) if t[0] == "^" and len(t) == n + 1}) for n in BEGINNINGS]
 
     def run(batches):
+        n = min(BEGINNINGS)
+        starts = {t[:n] for _, known in begins for t in known}
         for batch in batches:
             numbers, counts, ends = [], [], [0]
             for text in batch.column(1):
-                found = Counter(_WORDS.findall((text.as_py() or "").lower()))
+                words = words_of(text.as_py())
+                hits = [w for w in set(words) if w in places or w[:n] in starts]
                 own: Counter = Counter()
-                for word, n in found.items():
-                    for term in (word, *("^" + word[:length] for length in BEGINNINGS if len(word) > length)):
-                        if term in places:
-                            own[places[term]] += n
+                of = Counter(words) if len(hits) > 8 else None
+                for w in hits:
+                    times = of[w] if of else words.count(w)
+                    if w in places:
+                        own[places[w]] += times
+                    for m, known in begins:
+                        if len(w) > m and w[:m] in known:
+                            own[known[w[:m]]] += times
                 for k in sorted(own):
                     numbers.append(k)
                     counts.append(own[k])
@@ -118,26 +130,40 @@ class Index:
         return w / np.sqrt((w * w).sum())
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine above zero, exactly; ties go to the earlier example."""
+        """The k examples of highest cosine above zero, exactly; ties go to the earlier example.
+
+        The blocks of the highest bounds come first; then some more, and then all others, whose bound reaches the k-th cosine found.
+        """
         bound = weights @ self.most[terms]
-        found, value, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(found) == k and bound[b] < least:
+        order = np.argsort(-bound, kind="stable")
+        found, value, least, at = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
+        for last in (FIRST_BLOCKS, 4 * FIRST_BLOCKS, self.blocks):
+            wave = order[at:last]
+            wave = wave[(bound[wave] > 0) & (bound[wave] >= least)]
+            at = last
+            if not wave.size:
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                s, e = self.begin[t * self.blocks + b], self.begin[t * self.blocks + b + 1]
-                if e > s:
-                    scores[self.example[s:e] - b * BLOCK] += w * self.weight[s:e]
-            if b * BLOCK <= without < (b + 1) * BLOCK:
-                scores[without - b * BLOCK] = 0
+            place, counts = self._postings(terms, wave)
+            given = np.repeat(weights, counts)
+            scores = np.bincount(self.example[place], given * self.weight[place], len(self.ids))
+            if without >= 0:
+                scores[without] = 0
             hit = np.flatnonzero(scores)
-            found, value = np.r_[found, hit + b * BLOCK], np.r_[value, scores[hit]]
+            if len(hit) > k:  # ties with the k-th stay for the final order
+                hit = hit[scores[hit] >= np.partition(scores[hit], -k)[-k]]
+            found, value = np.r_[found, hit], np.r_[value, scores[hit]]
             best = np.lexsort((found, -value))[:k]
             found, value = found[best], value[best]
-            least = value[-1] if len(value) else 0.0
+            least = value[-1] if len(value) == k else 0.0
         return found, value
 
+    def _postings(self, terms: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all postings of the terms in the blocks, term by term, and how many each term has."""
+        keys = terms[:, None] * self.blocks + blocks[None]
+        begin, size = self.begin[keys], self.begin[keys + 1] - self.begin[keys]
+        flat, ends = size.ravel(), np.cumsum(size.ravel())
+        return np.arange(ends[-1]) - np.repeat(ends - flat, flat) + np.repeat(begin.ravel(), flat), size.sum(axis=1)
+
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         weight = 1 / (1.02 - np.minimum(cosine, 1))
         return float((weight * self.toxic[found]).sum() / weight.sum()) if len(found) else 0.0
@@ -156,23 +182,34 @@ def calibration(votes: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.array([b[0] for b in out]), np.array([b[1] / b[2] for b in out])
 
 
-_INDEXES: dict[int, tuple] = {}
+_INDEXES: list[tuple] = []
 
 
-def _index(shared) -> tuple:
-    if id(shared.value) not in _INDEXES:
-        _INDEXES.clear()
-        ids, terms, counts, toxic, idf, empty = shared.value
+def _index(shared, name: str) -> Index:
+    """The index of this process for a broadcast, which is unpacked once for all tasks; ``name`` is that of the run."""
+    if not _INDEXES or _INDEXES[0][0] != name:
+        ids, terms, counts, toxic, idf = shared.value
         index = Index([], [], np.zeros(0), np.zeros(0), idf)
-        weights = [index.unit(t, c) for t, c in zip(terms, counts)]
-        index = Index(terms, weights, toxic, ids, idf)
-        # one's own vote is left out; every example serves
-        votes = np.array([index.vote(*index.nearest(t, w, NEIGHBOURS, k)) for k, (t, w) in enumerate(zip(terms, weights))])
-        _INDEXES[id(shared.value)] = index, calibration(votes, toxic) if len(toxic) else None, empty
-    return _INDEXES[id(shared.value)]
+        index = Index(terms, [index.unit(t, c) for t, c in zip(terms, counts)], toxic, ids, idf)
+        index.vectors = terms, counts
+        _INDEXES[:] = [(name, index)]
+    return _INDEXES[0][1]
+
+
+def _own_votes(shared, name: str):
+    """The vote on each example (column 0: its number) without its own."""
+    def run(batches):
+        for batch in batches:
+            index = _index(shared, name)
+            terms, counts = index.vectors
+            numbers = batch.column(0).to_numpy()
+            votes = [index.vote(*index.nearest(terms[k], index.unit(terms[k], counts[k]), NEIGHBOURS, k)) for k in numbers.tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], names=["k", "vote"])
+    return run
 
 
-_SCORED = "doc_id long, score double, neighbours array<struct<doc_id: long, cosine: double, toxic: int>>"
+_NEAR = "array<struct<doc_id: long, cosine: double, toxic: int>>"
+_SCORED = f"terms array<int>, counts array<int>, score double, neighbours {_NEAR}"
 
 
 def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> DataFrame:
@@ -185,14 +222,16 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: i
     """
     spark = docs.sparkSession
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
-    known = cut(labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
-    train = docs.select("doc_id", "text").join(known, "doc_id")
-    words = vocabulary(train, terms)
-    found = cut(vectors(docs, words))
+    known = stored(labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
+    training = docs.where("doc_id IS NOT NULL").where(~held).select("doc_id", "text").mapInArrow(_distinct_words, "doc_id long, words string")
+    train = training.join(known.hint("merge"), "doc_id")  # one plan for every size
+    rows = docs.select("doc_id").join(known, "doc_id").agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
+    words = vocabulary(train, rows[0], rows[1] - rows[0], terms)
+    found = stored(vectors(docs, words))
     n = found.count()
     seen = {r.term: r.n for r in found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row per vocabulary term
     idf = np.array([np.log((1 + n) / (1 + seen.get(k, 0))) + 1 for k in range(len(words))])
-    mine = cut(found.join(known, "doc_id"))
+    mine = stored(found.join(known, "doc_id"))
     filled = F.size("terms") > 0
     rates = mine.agg(F.sum(F.when(~filled, F.col("toxic"))), F.count(F.when(~filled, 1)), F.count(F.when(filled, 1)), F.avg("toxic")).first()
     empty = (rates[0] or 0) / rates[1] if rates[1] else (rates[3] or 0.0)
@@ -200,23 +239,31 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: i
     chosen = mine.where(filled & (F.pmod(F.xxhash64(F.lit("example"), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))).orderBy("terms", "doc_id").toArrow()  # about ``examples`` rows
     columns = [np.array(chosen.column("doc_id"), np.int64), [np.array(t, np.int64) for t in chosen.column("terms").to_pylist()],
                [np.array(c, np.float64) for c in chosen.column("counts").to_pylist()], np.array(chosen.column("toxic"), np.int64)]
-    shared = spark.sparkContext.broadcast((*columns, idf, float(empty)))
+    shared, name, rates = spark.sparkContext.broadcast((*columns, idf)), uuid4().hex, None
+    if chosen.num_rows:
+        own = spark.range(0, chosen.num_rows, 1, max(1, chosen.num_rows // 500)).mapInArrow(_own_votes(shared, name), "k long, vote double").toArrow()  # a row per example
+        rates = calibration(own.column("vote").to_numpy(), columns[3][own.column("k").to_numpy()])
+
+    def answer(index: Index, t: list, c: list) -> tuple[float, list]:
+        terms = np.array(t)
+        hits, cosine = index.nearest(terms, index.unit(terms, np.array(c)), NEIGHBOURS)
+        if not len(hits):
+            return float(empty), []
+        near = [{"doc_id": int(index.ids[h]), "cosine": float(v), "toxic": int(index.toxic[h])} for h, v in zip(hits[:3], cosine)]
+        return float(np.interp(index.vote(hits, cosine), *rates)), near
 
     def run(batches):
         for batch in batches:
-            index, rates, empty = _index(shared)
             out = []
-            for doc, t, c in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                near = ()
-                value = empty
-                if t and rates is not None:
-                    t = np.array(t)
-                    hits, cosine = index.nearest(t, index.unit(t, np.array(c)), NEIGHBOURS)
-                    if len(hits):
-                        value = float(np.interp(index.vote(hits, cosine), *rates))
-                        near = [{"doc_id": int(index.ids[h]), "cosine": float(v), "toxic": int(index.toxic[h])} for h, v in zip(hits[:3], cosine)]
-                out.append({"doc_id": doc, "score": min(max(value, 0.0), 1.0), "neighbours": list(near)})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), (
+            for t, c in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                value, near = answer(_index(shared, name), t, c) if rates is not None else (float(empty), [])
+                out.append({"terms": t, "counts": c, "score": min(max(value, 0.0), 1.0), "neighbours": near})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("score", pa.float64()), (
                 "neighbours", pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))]))
 
-    return found.mapInArrow(run, _SCORED).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "neighbours")
+    # equal vectors have equal scores, so each is searched once
+    distinct = found.where(filled).select("terms", "counts").distinct().repartition("terms", "counts")
+    scored = distinct.mapInArrow(run, _SCORED)
+    out = found.where(filled).join(scored, ["terms", "counts"]).select("doc_id", "score", "neighbours").unionByName(
+        found.where(~filled).select("doc_id", F.lit(min(max(float(empty), 0.0), 1.0)).alias("score"), F.array().cast(_NEAR).alias("neighbours")))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "neighbours")

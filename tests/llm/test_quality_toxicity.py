@@ -9,7 +9,7 @@ from conftest import SMALL
 
 from hostwatch.llm import quality, queries, toxicity
 
-MIDDLE = "/root/testdata/sf0.01"
+MIDDLE, LARGE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 def plain_model(texts):
@@ -86,13 +86,13 @@ def test_odd_rows(spark):
 
 
 def test_toxicity_of_held_out_rows(spark):
-    docs, labels = (spark.read.parquet(f"{MIDDLE}/{t}.parquet") for t in ("documents", "labels"))
-    rows = {r.doc_id: r for r in queries.op7_toxicity(spark, MIDDLE).collect()}
+    docs, labels = (spark.read.parquet(f"{LARGE}/{t}.parquet") for t in ("documents", "labels"))
+    rows = {r.doc_id: r for r in queries.op7_toxicity(spark, LARGE).collect()}
     assert len(rows) == docs.count()
     assert all(r.held_out == (zlib.crc32(str(d).encode()) % 4 == 2) and r.predicted == (r.score >= 0.3) for d, r in rows.items())
     held = [(rows[r.doc_id].predicted, r.toxic) for r in labels.collect() if r.doc_id in rows and rows[r.doc_id].held_out]
-    assert np.mean([p == t for p, t in held]) > 0.93  # a few labels in a hundred contradict the texts
-    assert sum(p and t for p, t in held) >= 0.7 * sum(t for _, t in held)
+    assert np.mean([p == t for p, t in held]) > 0.95  # a few labels in a hundred contradict the texts
+    assert sum(p and t for p, t in held) >= 0.8 * sum(t for _, t in held)
     assert any(r.neighbours for r in rows.values())
 
 
