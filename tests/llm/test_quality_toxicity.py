@@ -66,6 +66,16 @@ def test_quality_finds_labelled_junk(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {d for d, r in rows.items() if r.keep}
 
 
+def test_quality_rejects_repetition_and_cuts_at_unseen_quantiles(spark):
+    docs, labels = (spark.read.parquet(f"{LARGE}/{t}.parquet") for t in ("documents", "labels"))
+    loops = [(-1 - k, w, l) for k, (w, l) in enumerate((w * 900, l) for w, l in (("Der ", "de"), ("The ", "en"), ("For ", "fr"), ("De ", "es")))]
+    more = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(loops, "doc_id long, text string, lang string"))
+    rows = {r.doc_id: r for r in quality.classify(more, labels.where("doc_id % 3 > 0")).collect()}
+    assert not any(rows[d].keep for d, _, _ in loops)
+    held = [(rows[r.doc_id].keep, r.quality) for r in labels.where("doc_id % 3 = 0").collect() if r.doc_id in rows]
+    assert np.mean([k for k, q in held if q == 1]) > 0.97 and np.mean([not k for k, q in held if q == 0]) > 0.95
+
+
 ODD = [(1, "fine text of the usual kind", "en"), (2, None, "en"), (3, "", None), (4, "x" * 500_000 + " end", "de"), (None, "fine text", "en"), (5, "fine text of the usual kind", None), (5, "fine text of the usual kind", None), (6, "😀😀 中文", "zz")]
 SCHEMA = "doc_id long, text string, lang string, cost double, mean double, limit double, total double, terms string, toxic int, score double"
 
