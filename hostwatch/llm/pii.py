@@ -21,6 +21,20 @@ THRESHOLD = 0.5
 
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
+#: Countries by the length of their account numbers.
+_IBAN = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+         22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+         26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+         32: "LC", 33: "RU"}
+_KNOWN = "(?:" + "|".join(" ".join(_IBAN.values()).split()) + ")"
+
+
+def _iban() -> str:
+    """Account numbers at their country's length; of other countries the longest run, up to where one of these begins."""
+    own = [f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Z0-9])" for n, codes in _IBAN.items()]
+    other = f"(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:(?! {_KNOWN}[0-9]{{2}}) ?[A-Z0-9]){{11,30}}"
+    return f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(own)}|{other})"
+
 
 def digits_of(found: Column) -> Column:
     return F.regexp_replace(found, "[^0-9]", "")
@@ -69,8 +83,8 @@ KINDS = (
          lambda found, before: luhn(digits_of(found)), 0.7, "card|visa|credit|payment"),
     Kind("phone", r"\+[0-9](?:[ ().-]*+[0-9]){7,14}+(?![ ().-]*[0-9])", "+",
          lambda found, before: F.lit(True), 0.6, "phone|tel|call|mobile|fax"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", None,
-         lambda found, before: ~before.rlike("[A-Za-z0-9]$") & mod97(found), 0.7, "iban|account|bank"),
+    Kind("iban", _iban(), None,
+         lambda found, before: mod97(found), 0.7, "iban|account|bank"),
     Kind("ssn", r"(?<![0-9])[0-9]++-[0-9]++-[0-9]++", "-",
          lambda found, before: ~before.rlike("[0-9-]$") & found.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), 0.3, "ssn|social security|tax id"),
 )

@@ -62,6 +62,13 @@ def test_added_kinds(spark):
     assert rows[0].scores == [1.0]
 
 
+def test_account_numbers_end_at_their_length(spark):
+    texts = ["IBAN GB82 WEST 1234 5698 7654 32 Please", "GB82WEST12345698765432 BIC ABC", "NO93 8601 1117 947 7 DE89370400440532013000 OK",
+             "XX12 3456 7890 1234 DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432X", "GB83 WEST 1234 5698 7654 32 Please"]
+    rows = check(spark, texts)
+    assert [rows[n].spans for n in range(6)] == ["iban:5:32", "iban:0:22", "iban:0:18,iban:21:43", "iban:20:47", "", ""]
+
+
 def test_empty_table_and_redaction(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, kept_text string, found_ip string"
     assert pii.report(spark.createDataFrame([], schema)).count() == 0
