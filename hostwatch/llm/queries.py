@@ -177,3 +177,56 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hostwatch.llm.warc import derive, responses
 
     return derive(responses(table(spark, sf_dir, "pages")))
+
+
+#: Rules of the contract: host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def _url_sql() -> str:
+    """Rules tried one by one; shares shrunk level by level, each level's strength from its spread."""
+    from hostwatch.llm import url_reputation as U
+
+    two = "array_to_string(list_slice(string_split(host, '.'), -2, -1), '.')"
+    listed = ", ".join(f"'{s}'" for s in U.TWO_LABEL_SUFFIXES)
+    numeric = "regexp_matches(host, '^[0-9.]*$')"
+    strength = f"""SELECT 1 / least(greatest(coalesce((sum(n * pow(bad / n - prior, 2)) - sum(prior * (1 - prior))) / nullif(sum(prior * (1 - prior) * (n - 1)), 0), {U.LEAST_CORRELATION}),
+      {U.LEAST_CORRELATION}::DOUBLE), {U.MOST_CORRELATION}::DOUBLE) - 1 AS strength FROM"""
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    return rf"""WITH rests AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+parsed AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{U.UPPER}', '{U.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+outcomes AS (
+  SELECT p.host, count(*)::DOUBLE AS n, sum(CASE WHEN l.quality = 0 THEN 1 ELSE 0 END)::DOUBLE AS bad
+  FROM parsed p JOIN labels l ON l.quality IS NOT NULL AND l.doc_id = TRY_CAST(regexp_extract(p.path, '/([0-9]{{1,18}})', 1) AS BIGINT) GROUP BY p.host),
+hosts AS (
+  SELECT host, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad,
+    CASE WHEN {numeric} THEN '' WHEN {two} IN ({listed}) THEN {two} ELSE string_split(host, '.')[-1] END AS suffix,
+    CASE WHEN {numeric} THEN host WHEN {two} IN ({listed}) THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE {two} END AS domain
+  FROM (SELECT DISTINCT host FROM parsed) LEFT JOIN outcomes USING (host)),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT sum(bad) / nullif(sum(n), 0) FROM hosts) AS prior FROM hosts GROUP BY suffix),
+s1 AS ({strength} suffixes WHERE n > 0),
+domains AS (
+  SELECT d.*, (s.bad + strength * s.prior) / (s.n + strength) AS prior
+  FROM (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix) d JOIN suffixes s USING (suffix), s1),
+s2 AS ({strength} domains WHERE n > 0),
+known AS (SELECT h.*, (d.bad + strength * d.prior) / (d.n + strength) AS prior FROM hosts h JOIN domains d USING (domain), s2),
+s3 AS ({strength} known WHERE n > 0),
+shares AS (SELECT host, n, bad, (bad + strength * prior) / (n + strength) AS share, n + strength + 1 AS weight FROM known, s3),
+facts AS (SELECT host, n::BIGINT AS labelled, bad::BIGINT AS bad, coalesce(greatest(share - {U.DEVIATIONS} * sqrt(share * (1 - share) / weight), 0), 0)::DOUBLE AS bound FROM shares),
+rules(rule_host, rule_path, verdict) AS (VALUES {rules}),
+fits AS (
+  SELECT h.host, p.path, rule_host || rule_path AS rule, verdict FROM (SELECT DISTINCT host FROM parsed) h JOIN (SELECT DISTINCT host, path FROM parsed) p USING (host)
+  JOIN rules ON (h.host = rule_host OR ends_with(h.host, '.' || rule_host)) AND starts_with(p.path, rule_path)
+  QUALIFY row_number() OVER (PARTITION BY h.host, p.path ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC, verdict = 'block' DESC) = 1)
+SELECT p.page_id, p.host, p.path, r.rule, coalesce(r.verdict, CASE WHEN f.bound > {U.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, f.labelled, f.bad, round(f.bound, 6) AS bound
+FROM parsed p JOIN facts f USING (host) LEFT JOIN fits r ON r.host = p.host AND r.path = p.path"""
+
+
+@query("op11_url_filter", _url_sql())
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hostwatch.llm.url_reputation import judge, page_outcomes
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge(pages, page_outcomes(pages, table(spark, sf_dir, "labels")), rules)
