@@ -251,3 +251,12 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return mine(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from hostwatch.llm.alignment import report
+
+    return report(table(spark, sf_dir, "documents"), tokenizer(), public_tokenizers.path("piece_bpe_32k.model"))
