@@ -9,6 +9,8 @@ Texts are cut into ranges of ``RANGE`` bytes; a task aligns the ranges of many t
 ``LONG`` characters is first divided at spaces where both tokenizers surely end a token, the parts go to different tasks, and their
 fragments are joined by a tree of Spark stages, ``FAN`` at a time.
 
+Words between safe spaces are texts of their own, so the closed fragments of frequent ones are kept and only put together again.
+
 Counts of linked id pairs over all documents: documents are put in blocks of bounded size, a block's distinct pairs are joined with the
 counts, shard by shard, and return to their block; no row per document and pair is shuffled.
 """
@@ -26,20 +28,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hostwatch.llm.common import cut, stored
-from hostwatch.llm.tokens import Encoder, _byte_letters
+from hostwatch.llm.tokens import _LETTERS, _LINES, Encoder, _byte_letters
 
 #: Bytes of a range, characters of a text that stays whole and of a part of a longer one, fragments joined at a step of the tree.
 RANGE, LONG, FAN = 1 << 14, 1 << 16, 16
-#: Texts are aligned together up to this many characters; links of a block of documents.
-TOGETHER, BLOCK = 1 << 20, 1 << 21
-#: Words whose ids are remembered.
-CACHED_WORDS, LONGEST_CACHED = 400_000, 64
+#: Links of a block of documents.
+BLOCK = 1 << 21
+#: Words that are remembered twice at most, longest of them, and tokens of a word from which on it is aligned in ranges.
+CACHED_WORDS, LONGEST_CACHED, LONG_WORD = 150_000, 64, 64
 #: A pair of ids as one number: the first id times this plus the second.
 SECOND = 1 << 24
 
 #: A space behind a character that is neither white space nor may join with it.
 _SAFE = re.compile(r"(?<=[\w!-~¡-ɏ]) ")
 _UNSAFE = re.compile(r"(?<![\w!-~¡-ɏ]) ")
+#: In pieces: a space behind another sign; letters beside signs.
+_INNER_SPACE = re.compile("[^▁]▁")
+_MIXED = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ][!-&(-/:-@\[-`{-~]|[!-&(-/:-@\[-`{-~][A-Za-zÀ-ÖØ-öø-ÿ]")
 
 
 class Fragment(NamedTuple):
@@ -102,8 +107,36 @@ def links(a: np.ndarray, b: np.ndarray, sizes) -> np.ndarray:
     return a[np.searchsorted(ends_a, ends)] * SECOND + b[np.searchsorted(ends_b, ends)]
 
 
+class Entry(NamedTuple):
+    """A closed stretch of text: its groups as written, the pairs of its links (8 bytes each, repeats included), tokens of the first kind."""
+    closed: bytes
+    pairs: bytes
+    n_a: int
+
+
+class _Words(dict):
+    """Entries by word; those of the generation before are kept until the next one is full."""
+
+    def __init__(self, encode, most: int):
+        super().__init__()
+        self.encode, self.most, self.old = encode, most, {}
+
+    def __missing__(self, word: str):
+        entry = self.old[word] if word in self.old else self.encode(word)
+        if len(word) <= LONGEST_CACHED:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[word] = entry
+        return entry
+
+
+def _together_entry(entries: list) -> Entry | None:
+    return None if None in entries else Entry(b";".join([e.closed for e in entries]), b"".join([e.pairs for e in entries]), sum([e.n_a for e in entries]))
+
+
 class Tokens:
-    """Both tokenizers of a process: ids of words, bytes of ids."""
+    """Both tokenizers of a process: ids of texts, bytes of ids, and closed fragments of words."""
 
     def __init__(self, first: str, second: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -118,41 +151,82 @@ class Tokens:
         self.first_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, n in vocabulary.items():
             self.first_bytes[n] = token.encode() if token in special else bytes(letters[c] for c in token)
-        self.second_bytes = [bytes([int(p[3:-1], 16)]) if self.second.is_byte(n) else p.replace("▁", " ").encode()
-                             for n, p in ((n, self.second.id_to_piece(n)) for n in range(self.second.get_piece_size()))]
+        pieces = [self.second.id_to_piece(n) for n in range(self.second.get_piece_size())]
+        plain = [n for n in range(len(pieces)) if not self.second.is_byte(n) and not self.second.is_control(n) and not self.second.is_unknown(n)]
+        self.second_bytes = [bytes([int(p[3:-1], 16)]) if self.second.is_byte(n) else p.replace("▁", " ").encode() for n, p in enumerate(pieces)]
         self.sizes = tuple(np.array([len(t) for t in kind], np.int64) for kind in (self.first_bytes, self.second_bytes))
+        self.lengths = tuple(kind.tolist() for kind in self.sizes)
         self.first_text, self.second_text = ([b"%d" % n for n in range(len(kind))] for kind in (self.first_bytes, self.second_bytes))
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-        self.old: dict = {}
+        #: Places where no piece of the second kind goes on, so that parts may be encoded by themselves.
+        self.at_spaces = not any(_INNER_SPACE.search(pieces[n]) for n in plain)
+        self.at_signs = not any(_MIXED.search(pieces[n]) for n in plain)
+        feed = self.second.encode("\n")
+        self.at_feeds = not any("\n" in pieces[n] for n in plain) and len(feed) == 2 and self.second_bytes[feed[1]] == b"\n"
+        self.words, self.stems, self.inner = (_Words(f, CACHED_WORDS) for f in (self._word, self._direct, self._inside))
+        self.feed = self._leaf(self.first._direct("\n"), feed[1:], b"\n") if self.at_feeds else None
+
+    def _leaf(self, first: bytes, b: list[int], whole: bytes) -> Entry | None:
+        """The closed fragment of a stretch that both kinds begin and end with; None where one's bytes are not those of the text."""
+        a = np.frombuffer(first, np.uint32).tolist()
+        if b"".join([self.second_bytes[n] for n in b]) != whole or b"".join([self.first_bytes[n] for n in a]) != whole:
+            return None
+        if len(a) + len(b) > LONG_WORD:
+            f = whole_of(fold(fragments(self, first, np.array(b, np.int64)), self.sizes), self.sizes)
+            return Entry(f.closed, np.repeat(f.pairs, f.times).tobytes(), len(a))
+        (of_a, of_b), i, j, groups, pairs, m, n = self.lengths, 0, 0, [], [], 0, 0
+        end_a, end_b = of_a[a[0]], of_b[b[0]]
+        while True:
+            pairs.append(a[i] * SECOND + b[j])
+            if end_a == end_b:
+                groups.append(b"%s|%s" % (b",".join([self.first_text[t] for t in a[m:i + 1]]), b",".join([self.second_text[t] for t in b[n:j + 1]])))
+                i, j = i + 1, j + 1
+                if i == len(a):
+                    return Entry(b";".join(groups), np.array(pairs, np.int64).tobytes(), len(a))
+                m, n = i, j
+                end_a, end_b = end_a + of_a[a[i]], end_b + of_b[b[j]]
+            elif end_a < end_b:
+                i += 1
+                end_a += of_a[a[i]]
+            else:
+                j += 1
+                end_b += of_b[b[j]]
 
-    def _encode(self, part: str) -> tuple[bytes, bytes] | None:
-        """Ids of both for a space and ``part``, as 32-bit numbers; None where one's bytes are not those of the text."""
-        whole = b" " + part.encode()
-        a = self.first._spaced(part) if " " not in part and part else self.first._direct(" " + part)
+    def _direct(self, part: str) -> Entry | None:
+        """A space and ``part``, by the libraries themselves."""
+        a = self.first._spaced(part) if part and " " not in part else self.first._direct(" " + part)
         b = self.second.encode(part) or [self.second.piece_to_id("▁")]  # an empty part is a space alone
-        if b"".join(map(self.second_bytes.__getitem__, b)) != whole or b"".join(map(self.first_bytes.__getitem__, np.frombuffer(a, np.uint32))) != whole:
-            return None
-        return a, np.array(b, np.uint32).tobytes()
-
-    def word(self, part: str) -> tuple[bytes, bytes] | None:
-        try:
-            return self.known[part]
-        except KeyError:
-            pass
-        ids = self.old[part] if part in self.old else self._encode(part)
-        if len(part) <= LONGEST_CACHED:
-            if len(self.known) >= CACHED_WORDS:
-                self.known, self.old = {}, self.known
-            self.known[part] = ids
-        return ids
-
-    def encode(self, text: str) -> tuple[bytes, bytes] | None:
-        """Ids of space and text by both.  Text is cut only at spaces where both tokenizers end a token: no piece of either
+        return self._leaf(a, b, b" " + part.encode())
+
+    def _inside(self, part: str) -> Entry | None:
+        """``part`` behind a line feed or letters: without a space."""
+        return self._leaf(self.first._direct(part), self.second.encode("\n" + part)[2:], part.encode())
+
+    def _word(self, part: str) -> Entry | None:
+        """A space and a word, from its letters, signs and lines where all tokens end between them."""
+        if self.at_feeds and self.at_signs:
+            found = _LETTERS(part)
+            if found:
+                return self._signed(self.stems, found)
+            if "\n" in part and _LINES(part):
+                head, *lines = part.split("\n")
+                entries = [self.words[head]]
+                for line in lines:
+                    found = _LETTERS(line)
+                    entries += [self.feed, self._signed(self.inner, found) if found else self.inner[line]]
+                return _together_entry(entries)
+        return self._direct(part)
+
+    def _signed(self, stems: _Words, found) -> Entry | None:
+        stem = stems[found[1]]
+        return _together_entry([stem, self.inner[found[2]]]) if found[2] else stem
+
+    def encode(self, text: str) -> Entry | None:
+        """Space and text, closed.  Text is cut only at spaces where both tokenizers end a token: no piece of either
         goes on behind a sign that is no space with a space."""
+        if not self.at_spaces:
+            return self._direct(text)
         parts = _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
-        word = self.word
-        ids = [word(p) for p in parts]
-        return None if None in ids else (b"".join([i[0] for i in ids]), b"".join([i[1] for i in ids]))
+        return _together_entry(list(map(self.words.__getitem__, parts)))
 
 
 _TOKENS: dict[tuple[str, str], Tokens] = {}
@@ -164,44 +238,23 @@ def tokens(first: str, second: str) -> Tokens:
     return _TOKENS[first, second]
 
 
-def fragments(kinds: Tokens, texts: list[tuple[bytes, bytes]], step: int = RANGE) -> list[list[Fragment]]:
-    """The fragments of every text's ranges of ``step`` bytes, all texts at once."""
-    a, b = (np.frombuffer(b"".join(t[side] for t in texts), np.uint32).astype(np.int64) for side in (0, 1))
+def fragments(kinds: Tokens, first: bytes, b: np.ndarray, step: int = RANGE) -> list[Fragment]:
+    """The fragments of the ranges of ``step`` bytes of one text."""
+    a = np.frombuffer(first, np.uint32).astype(np.int64)
     ends_a, ends_b = np.cumsum(kinds.sizes[0][a]), np.cumsum(kinds.sizes[1][b])
-    many = np.cumsum([len(t[0]) // 4 for t in texts])
-    limits = np.concatenate([[0], ends_a[many - 1]])  # bytes where texts begin and end
     cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    ends = np.union1d(ends_a, ends_b)
-    linked = a[np.searchsorted(ends_a, ends)] * SECOND + b[np.searchsorted(ends_b, ends)]
-    # all tokens as they are written: of each group those of the first, a bar, those of the second, a semicolon
-    group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
-    last_a, last_b = np.isin(ends_a, cuts, assume_unique=True), np.isin(ends_b, cuts, assume_unique=True)
-    order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
-    signs = np.array([b",", b"|", b";"], object)
-    sign = signs[np.concatenate([last_a.astype(np.int64), 2 * last_b])[order]].tolist()
-    text_a, text_b = kinds.first_text, kinds.second_text
-    written = [*map(text_a.__getitem__, a.tolist()), *map(text_b.__getitem__, b.tolist())]
-    written = [written[n] for n in order.tolist()]
-    before_group = np.searchsorted(group_a, np.arange(len(cuts) + 1)) + np.searchsorted(group_b, np.arange(len(cuts) + 1))
     out = []
-    for begin, end in zip(limits, limits[1:]):
-        mine, low = [], begin
-        for high in [*range(begin + step, end, step), end]:
-            first, last = np.searchsorted(cuts, low, "right"), np.searchsorted(cuts, high, "right") - 1
-            side = [(np.searchsorted(e, low, "right"), np.searchsorted(e, high, "right")) for e in (ends_a, ends_b)]
-            if last < first:
-                ids = tuple(kind[s:t] for kind, (s, t) in zip((a, b), side))
-                mine.append(Fragment(False, ids, (NO_IDS, NO_IDS), b"", 0, NO_IDS, NO_IDS))
-            else:
-                inner = [(np.searchsorted(e, cuts[first], "right"), np.searchsorted(e, cuts[last], "right")) for e in (ends_a, ends_b)]
-                head = tuple(kind[s:i] for kind, (s, _), (i, _) in zip((a, b), side, inner))
-                tail = tuple(kind[i:t] for kind, (_, t), (_, i) in zip((a, b), side, inner))
-                s, t = before_group[first + 1], before_group[last + 1]
-                closed = b"".join([v for pair in zip(written[s:t], sign[s:t]) for v in pair])[:-1]
-                pairs, times = np.unique(linked[np.searchsorted(ends, cuts[first], "right"):np.searchsorted(ends, cuts[last], "right")], return_counts=True)
-                mine.append(Fragment(True, head, tail, closed, int(last - first), pairs, times))
-            low = high
-        out.append(mine)
+    for low in range(0, int(ends_a[-1]), step):
+        own = cuts[slice(*np.searchsorted(cuts, (low, low + step), "right"))]
+        # places in both rows of tokens: where the range begins, behind each cut, where it ends
+        at = [np.searchsorted(e, [low, *own, low + step], "right") for e in (ends_a, ends_b)]
+        if not len(own):
+            out.append(Fragment(False, tuple(kind[s:t] for kind, (s, t) in zip((a, b), at)), (NO_IDS, NO_IDS), b"", 0, NO_IDS, NO_IDS))
+            continue
+        head, tail = (tuple(kind[p[n]:p[n + 1]] for kind, p in zip((a, b), at)) for n in (0, -2))
+        closed = [_written(a[s:t], b[u:v]) for s, t, u, v in zip(at[0][1:-2], at[0][2:-1], at[1][1:-2], at[1][2:-1])]
+        linked = links(a[at[0][1]:at[0][-2]], b[at[1][1]:at[1][-2]], kinds.sizes) if closed else NO_IDS
+        out.append(Fragment(True, head, tail, b";".join(closed), len(closed), *_merged(linked, np.ones(len(linked)))))
     return out
 
 
@@ -214,68 +267,107 @@ def parts(text: str, long: int = LONG) -> list[str]:
     return [*out, text[at:]]
 
 
-def whole(fragment: Fragment, sizes) -> Fragment:
+def whole_of(fragment: Fragment, sizes) -> Fragment:
     """The fragment of a whole text, all of it closed: a text begins behind a cut and ends with one."""
     return combine(Fragment(True, *EMPTY[1:]), fragment, sizes)
 
 
-IDS, PAIRS = pa.list_(pa.int32()), pa.list_(pa.int64())
-ALIGNED = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()),
-                     ("groups", pa.string()), ("a", IDS), ("b", IDS), ("times", IDS)])
-ALIGNED_SQL = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, a array<int>, b array<int>, times array<int>"
-OPEN = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int64()), ("fine", pa.bool_()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("cut", pa.bool_()),
+PAIRS = pa.list_(pa.int64())
+#: A block: its documents, its distinct pairs, and per document how many of them it holds, which ones and how often.
+BLOCKS = pa.schema([("block", pa.int64()), ("doc_id", PAIRS), ("n_a", PAIRS), ("n_b", PAIRS), ("n_groups", PAIRS), ("n_links", PAIRS), ("groups", pa.list_(pa.string())),
+                    ("n_pairs", PAIRS), ("pairs", pa.binary()), ("which", pa.binary()), ("times", pa.binary())])
+BLOCKS_SQL = ("block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, groups array<string>, n_pairs array<long>, "
+              "pairs binary, which binary, times binary")
+OPEN = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("part", pa.int64()), ("fine", pa.bool_()), ("n_a", pa.int64()), ("cut", pa.bool_()),
                   ("head_a", PAIRS), ("head_b", PAIRS), ("tail_a", PAIRS), ("tail_b", PAIRS), ("closed", pa.binary()), ("groups", pa.int64()), ("pairs", PAIRS), ("times", PAIRS)])
-OPEN_SQL = ("row long, doc_id long, part long, fine boolean, n_a long, n_b long, cut boolean, head_a array<long>, head_b array<long>, tail_a array<long>, tail_b array<long>, "
+OPEN_SQL = ("row long, doc_id long, part long, fine boolean, n_a long, cut boolean, head_a array<long>, head_b array<long>, tail_a array<long>, tail_b array<long>, "
             "closed binary, groups long, pairs array<long>, times array<long>")
-NOTHING = (0, 0, 0, 0, "", [], [], [])
 
 
-def _row(fragment: Fragment, n_a: int, n_b: int, digest: bool) -> tuple:
-    written = hashlib.sha256(fragment.closed).hexdigest() if digest else fragment.closed.decode()
-    return n_a, n_b, fragment.groups, int(fragment.times.sum()), written, fragment.pairs // SECOND, fragment.pairs % SECOND, fragment.times
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 to the 32nd in byte planes, compressed."""
+    import zstandard
 
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
-def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
+def _unpacked(packed: bytes) -> np.ndarray:
+    import zstandard
 
-def _together(batches, columns: int):
-    """Rows of the batches in lists of bounded text; the text is the last column."""
-    held, size = [], 0
-    for batch in batches:
-        for row in zip(*(batch.column(n).to_pylist() for n in range(columns))):
-            held.append(row)
-            size += len(row[-1] or "") + 100
-            if size >= TOGETHER:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _distinct(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ones in order, and how often each occurs."""
+    pairs = np.sort(pairs)
+    at = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else NO_IDS
+    return pairs[at], np.diff(np.r_[at, len(pairs)])
+
+
+class _Block:
+    """Documents until they have ``BLOCK`` links."""
+
+    def __init__(self, number: int, digest: bool):
+        self.number, self.digest, self.rows, self.pairs, self.times, self.links = number, digest, [], [], [], 0
+
+    def add(self, doc_id, entry: Entry | None) -> bool:
+        """Whether the block is full with this document."""
+        pairs, times = _distinct(np.frombuffer(entry.pairs, np.int64) if entry else NO_IDS)
+        return self.put(doc_id, entry.closed if entry else None, entry.n_a if entry else 0, pairs, times)
+
+    def put(self, doc_id, closed: bytes | None, n_a: int, pairs: np.ndarray, times: np.ndarray) -> bool:
+        written, groups, links = "", 0, int(times.sum())
+        if closed:
+            written, groups = hashlib.sha256(closed).hexdigest() if self.digest else closed.decode(), closed.count(b";") + 1
+        # of a group with m and n tokens, m + n - 1 pairs overlap
+        self.rows.append((doc_id, n_a, links + groups - n_a, groups, links, written, len(pairs)))
+        self.pairs.append(pairs)
+        self.times.append(times)
+        self.links += links + 100
+        return self.links >= BLOCK
+
+    def batch(self) -> pa.RecordBatch:
+        pairs = np.concatenate([*self.pairs, NO_IDS])
+        distinct, which = np.unique(pairs, return_inverse=True)
+        ends = np.cumsum([len(p) for p in self.pairs])
+        gaps = np.diff(which, prepend=0)
+        begins = (ends - [len(p) for p in self.pairs])[[len(p) > 0 for p in self.pairs]]
+        gaps[begins] = which[begins]
+        columns = list(zip(*self.rows))
+        code = np.concatenate([distinct // SECOND, distinct % SECOND])
+        values = [self.number, *map(list, columns), _packed(code), _packed(gaps), _packed(np.concatenate([*self.times, NO_IDS]))]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, BLOCKS.types)], schema=BLOCKS)
 
 
-def _encoded(kinds: Tokens, texts: list) -> list:
-    """Ids of every text; None for null and empty ones and those whose bytes a tokenizer changes."""
-    return [kinds.encode(t) if t else None for t in texts]
+def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: its distinct pairs, how many pairs each document holds, which ones, and how often."""
+    code, n, which = _unpacked(row["pairs"]), np.array(row["n_pairs"], np.int64), _unpacked(row["which"])
+    sums = np.cumsum(which)
+    begins = (np.cumsum(n) - n)[n > 0]
+    base = np.where(begins > 0, sums[begins - 1], 0) if len(begins) else NO_IDS
+    return code[:len(code) // 2] * SECOND + code[len(code) // 2:], n, sums - np.repeat(base, n[n > 0]), _unpacked(row["times"])
+
+
+def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
 def _align(first: str, second: str, digest: bool):
-    """Texts that stay whole, put in blocks of about ``BLOCK`` links."""
+    """Texts that stay whole, in blocks."""
     def run(batches):
         from pyspark import TaskContext
 
         kinds = tokens(first, second)
-        block, size = TaskContext.get().partitionId() << 32, 0
-        for rows in _together(batches, 2):
-            ids = _encoded(kinds, [t for _, t in rows])
-            found = iter(fragments(kinds, [i for i in ids if i]) if any(ids) else [])
-            out = []
-            for (doc_id, _), i in zip(rows, ids):
-                row = _row(whole(fold(next(found), kinds.sizes), kinds.sizes), len(i[0]) // 4, len(i[1]) // 4, digest) if i else NOTHING
-                out.append((block, doc_id, *row))
-                size += row[3]
-                if size >= BLOCK:
-                    block, size = block + 1, 0
-            yield _batch(out, ALIGNED)
+        block = _Block(TaskContext.get().partitionId() << 32, digest)
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
+                if block.add(doc_id, kinds.encode(text) if text else None):
+                    yield block.batch()
+                    block = _Block(block.number + 1, digest)
+        if block.rows:
+            yield block.batch()
     return run
 
 
@@ -288,38 +380,40 @@ def _divide(long: int):
 
         row = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for n, part in enumerate(parts(text, long)):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for n, part in enumerate(parts(text.as_py(), long)):
                     yield _batch([(row, doc_id, n, part)], schema)
                 row += 1
     return run
 
 
-def _open(row, doc_id, part, fine, n_a, n_b, f: Fragment) -> tuple:
-    return row, doc_id, part, fine, n_a, n_b, f.cut, *f.head, *f.tail, f.closed, f.groups, f.pairs, f.times
+def _open(row, doc_id, part, fine, n_a, f: Fragment) -> tuple:
+    return row, doc_id, part, fine, n_a, f.cut, *f.head, *f.tail, f.closed, f.groups, f.pairs, f.times
 
 
 def _align_parts(first: str, second: str):
-    """Parts of long texts as one fragment each."""
+    """Parts of long texts as one fragment each: all of a part is closed, its first group is open to what stands before."""
     def run(batches):
         kinds = tokens(first, second)
-        for rows in _together(batches, 4):
-            for row, doc_id, part, text in rows:
-                ids = kinds.encode(text)
-                f = fold(fragments(kinds, [ids])[0], kinds.sizes) if ids else EMPTY
-                yield _batch([_open(row, doc_id, part, ids is not None, *(len(i) // 4 for i in ids or (b"", b"")), f)], OPEN)
+        for batch in batches:
+            for row, doc_id, part, text in zip(*(batch.column(n).to_pylist() for n in range(4))):
+                entry = kinds.encode(text)
+                f = Fragment(True, (NO_IDS, NO_IDS), (NO_IDS, NO_IDS), entry.closed, entry.closed.count(b";") + 1, *_distinct(np.frombuffer(entry.pairs, np.int64))) if entry else EMPTY
+                yield _batch([_open(row, doc_id, part, entry is not None, entry.n_a if entry else 0, f)], OPEN)
     return run
 
 
+def _fragment(r: dict) -> Fragment:
+    ids = [np.array(r[n], np.int64) for n in ("head_a", "head_b", "tail_a", "tail_b", "pairs", "times")]
+    return Fragment(r["cut"], tuple(ids[:2]), tuple(ids[2:4]), r["closed"], r["groups"], *ids[4:])
+
+
 def _join_parts(first: str, second: str):
     """Neighbouring fragments of a long text as one."""
     def run(table: pa.Table) -> pa.Table:
-        sizes = tokens(first, second).sizes
         rows = table.sort_by("part").to_pylist()
-        ids = lambda r, *names: tuple(np.array(r[n], np.int64) for n in names)
-        f = fold([Fragment(r["cut"], ids(r, "head_a", "head_b"), ids(r, "tail_a", "tail_b"), r["closed"], r["groups"], *ids(r, "pairs", "times")) for r in rows], sizes)
-        r = rows[0]
-        return pa.Table.from_batches([_batch([_open(r["row"], r["doc_id"], r["part"] // FAN, all(x["fine"] for x in rows), sum(x["n_a"] for x in rows), sum(x["n_b"] for x in rows), f)], OPEN)])
+        f, r = fold(list(map(_fragment, rows)), tokens(first, second).sizes), rows[0]
+        return pa.Table.from_batches([_batch([_open(r["row"], r["doc_id"], r["part"] // FAN, all(x["fine"] for x in rows), sum(x["n_a"] for x in rows), f)], OPEN)])
     return run
 
 
@@ -329,26 +423,16 @@ def _close(first: str, second: str, digest: bool):
         sizes = tokens(first, second).sizes
         for batch in batches:
             for r in batch.to_pylist():
-                ids = lambda *names: tuple(np.array(r[n], np.int64) for n in names)  # noqa: E731, B023
-                row = NOTHING
-                if r["fine"]:
-                    f = Fragment(r["cut"], ids("head_a", "head_b"), ids("tail_a", "tail_b"), r["closed"], r["groups"], *ids("pairs", "times"))
-                    row = _row(whole(f, sizes), r["n_a"], r["n_b"], digest)
-                yield _batch([(-1 - r["row"], r["doc_id"], *row)], ALIGNED)
+                block, f = _Block(-1 - r["row"], digest), whole_of(_fragment(r), sizes) if r["fine"] else EMPTY
+                block.put(r["doc_id"], f.closed if r["fine"] else None, r["n_a"] if r["fine"] else 0, f.pairs, f.times)
+                yield block.batch()
     return run
 
 
-def align(documents: DataFrame, first: str, second: str, digest: bool = False, long: int = LONG) -> DataFrame:
-    """``block, doc_id, n_a, n_b, n_groups, n_links, groups, a, b, times`` for every row of ``documents`` (doc_id, text).
-
-    ``groups`` lists the groups of ids in order, ``a1,a2|b1;a3|b2`` (with ``digest`` the SHA-256 of that); ``a``, ``b`` and ``times`` are the distinct linked
-    pairs and how often each occurs.  ``first`` is the file of a byte-level tokenizer, ``second`` a sentencepiece model that puts a
-    space in front; both see a space and the text, in which strings of special tokens are plain text.  Texts that are null, empty or not
-    given back byte for byte by either have no tokens: zeros, an empty string, empty lists.  Every row counts, also
-    repeated ones and those with a null id; the result is written to the shared folder.
-    """
+def align_blocks(documents: DataFrame, first: str, second: str, digest: bool = False, long: int = LONG) -> DataFrame:
+    """All rows of ``documents`` (doc_id, text) in blocks, written to the shared folder; see :func:`align`."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    short = texts.where(F.coalesce(F.length("text") <= long, F.lit(True))).mapInArrow(_align(first, second, digest), ALIGNED_SQL)
+    short = texts.where(F.coalesce(F.length("text") <= long, F.lit(True))).mapInArrow(_align(first, second, digest), BLOCKS_SQL)
     spark = documents.sparkSession
     divided = (texts.where(F.length("text") > long).mapInArrow(_divide(long), "row long, doc_id long, part long, text string")
                .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row", "part"))
@@ -359,49 +443,55 @@ def align(documents: DataFrame, first: str, second: str, digest: bool = False, l
     while last > 0:
         opened = cut(opened.groupBy("row", F.floor(F.col("part") / FAN).alias("of")).applyInArrow(_join_parts(first, second), OPEN_SQL))
         last //= FAN
-    return stored(short.unionByName(opened.mapInArrow(_close(first, second, digest), ALIGNED_SQL)))
+    return stored(short.unionByName(opened.mapInArrow(_close(first, second, digest), BLOCKS_SQL)))
 
 
-def _lists(batch, name: str) -> tuple[np.ndarray, np.ndarray]:
-    column = batch.column(name)
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy().astype(np.int64), column.value_lengths().to_numpy()
+def align(documents: DataFrame, first: str, second: str, long: int = LONG) -> DataFrame:
+    """``doc_id, n_a, n_b, n_groups, n_links, groups, a, b, times`` for every row of ``documents`` (doc_id, text).
 
+    ``groups`` lists the groups of ids in order, ``a1,a2|b1;a3|b2``; ``a``, ``b`` and ``times`` are the distinct linked pairs and how often each
+    occurs.  ``first`` is the file of a byte-level tokenizer, ``second`` a sentencepiece model that puts a
+    space in front; both see a space and the text, in which strings of special tokens are plain text.  Texts that are null, empty or not
+    given back byte for byte by either have no tokens: zeros, an empty string, empty lists.  Every row counts, also
+    repeated ones and those with a null id.
+    """
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                distinct, n, which, times = _read(row)
+                ends = np.cumsum(n)
+                for k, (s, t) in enumerate(zip(ends - n, ends)):
+                    pairs = distinct[which[s:t]]
+                    values = (*(row[c][k] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups")), pairs // SECOND, pairs % SECOND, times[s:t])
+                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.string() if c == 5 else PAIRS if c > 5 else pa.int64()) for c, v in enumerate(values)],
+                                                     names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "a", "b", "times"])
 
-def _held(batches):
-    """Distinct pairs of each block with the number of documents that hold them, as far as a task has seen."""
-    def counted(blocks, pairs):
-        for block in np.unique(blocks):
-            distinct, docs = np.unique(pairs[blocks == block], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), block)), pa.array(distinct), pa.array(docs.astype(np.int64))], names=["block", "pair", "docs"])
+    columns = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, a array<long>, b array<long>, times array<long>"
+    return align_blocks(documents, first, second, long=long).mapInArrow(run, columns)
 
-    blocks, pairs, size = [], [], 0
+
+def _held(batches):
+    """Distinct pairs of each block with the number of its documents that hold them."""
     for batch in batches:
-        a, n = _lists(batch, "a")
-        blocks.append(np.repeat(batch.column("block").to_numpy(), n))
-        pairs.append(a * SECOND + _lists(batch, "b")[0])
-        size += len(a)
-        if size >= BLOCK:
-            yield from counted(np.concatenate(blocks), np.concatenate(pairs))
-            blocks, pairs, size = [], [], 0
-    if size:
-        yield from counted(np.concatenate(blocks), np.concatenate(pairs))
-
-
-def _weigh(documents: pa.Table, known: pa.Table) -> pa.Table:
+        for row in batch.to_pylist():
+            distinct, _, which, _ = _read(row)
+            docs = np.bincount(which, minlength=len(distinct))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), row["block"])), pa.array(distinct), pa.array(docs)], names=["block", "pair", "docs"])
+
+
+WEIGHED = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def _weigh(blocks: pa.Table, known: pa.Table) -> pa.Table:
     """Links of a block's documents summed up with the counts of the block's pairs."""
-    if documents.num_rows:
-        pairs, at = np.unique(known.column("pair").to_numpy(), return_index=True)
-        count, best = known.column("count").to_numpy()[at], known.column("best").to_numpy(zero_copy_only=False)[at]
-        (a, n), (b, _), (times, _) = (_lists(documents, c) for c in ("a", "b", "times"))
-        at = np.searchsorted(pairs, a * SECOND + b)
-        ends = np.cumsum(n)
-        sums = [np.concatenate([[0], np.cumsum(v)]) for v in (times * best[at], times * count[at])]
-        n_best, count_sum = (s[ends] - s[ends - n] for s in sums)
-    else:
-        n_best = count_sum = NO_IDS
-    kept = documents.select(["doc_id", "n_a", "n_b", "n_groups", "n_links"])
-    return kept.append_column("n_best", pa.array(n_best)).append_column("count_sum", pa.array(count_sum)).append_column("groups_sha256", documents.column("groups"))
+    (row,) = blocks.to_pylist()
+    distinct, n, which, times = _read(row)
+    order = np.argsort(known.column("pair").to_numpy())  # the same pairs, in the same order
+    count, best = known.column("count").to_numpy()[order], known.column("best").to_numpy(zero_copy_only=False)[order]
+    ends = np.cumsum(n)
+    sums = [np.concatenate([[0], np.cumsum(times * v[which])]) if len(which) else np.zeros(1, np.int64) for v in (best, count)]
+    columns = [*(row[c] for c in WEIGHED[:5]), *(s[ends] - s[ends - n] for s in sums), row["groups"]]
+    return pa.table({c: pa.array(v, pa.string() if c == "groups_sha256" else pa.int64()) for c, v in zip(WEIGHED, columns)})
 
 
 def report(documents: DataFrame, first: str, second: str, long: int = LONG) -> DataFrame:
@@ -410,15 +500,10 @@ def report(documents: DataFrame, first: str, second: str, long: int = LONG) -> D
     A pair's count is the number of rows that hold it linked; ``n_best`` counts the links whose pair has its first id's highest count, ties
     included, and ``count_sum`` adds the counts of all links.
     """
-    aligned = align(documents, first, second, digest=True, long=long)
-    held = stored(aligned.where("n_links > 0").select("block", "a", "b").mapInArrow(_held, "block long, pair long, docs long"))
-    counts = held.groupBy("pair").agg(F.sum("docs").alias("count")).withColumn("id", F.shiftright("pair", 24))
-    counts = cut(counts)
+    blocks = align_blocks(documents, first, second, digest=True, long=long)
+    held = stored(blocks.select(*BLOCKS.names).mapInArrow(_held, "block long, pair long, docs long"))
+    counts = cut(held.groupBy("pair").agg(F.sum("docs").alias("count")).withColumn("id", F.shiftright("pair", 24)))
     highest = counts.groupBy("id").agg(F.max("count").alias("highest"))
     counts = counts.join(highest, "id").select("pair", "count", (F.col("count") == F.col("highest")).alias("best"))
     known = held.select("block", "pair").join(counts, "pair").select("block", "pair", "count", "best")
-    columns = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    weighed = aligned.where("n_links > 0").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_weigh, columns)
-    zero = F.lit(0).cast("long")
-    rest = aligned.where("n_links = 0").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero.alias("n_best"), zero.alias("count_sum"), F.lit("").alias("groups_sha256"))
-    return weighed.unionByName(rest)
+    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_weigh, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")

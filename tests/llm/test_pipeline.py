@@ -7,7 +7,7 @@ import corpus_pipeline as pipeline
 import numpy as np
 from conftest import SMALL
 from test_pii import base
-from test_simhash import groups, plain
+from test_shingles import groups
 
 from hostwatch.llm import quality, queries
 
@@ -28,11 +28,9 @@ def test_stages(spark, tmp_path):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     kept = {r.doc_id for r in quality.classify(documents, labels).where("keep").collect()}
     assert good.keys() == kept and all(good[d] == raw[d] for d in kept) and len(kept) < len(raw)
-    of = {d: plain(r[0].text) for d, r in good.items()}
-    group = groups(of.values())
     least = {}
-    for d, f in of.items():
-        least[group[f]] = min(d, least.get(group[f], d))
+    for d, group in zip(good, groups([r[0].text for r in good.values()])):
+        least[group] = min(d, least.get(group, d))
     assert unique.keys() == set(least.values()) and all(unique[d] == good[d] for d in unique)
     assert clean.keys() == unique.keys()
     for d, (r,) in clean.items():
