@@ -1,79 +1,148 @@
-"""Streaming host baselines: every session is scored against the host's past, then added to it."""
+"""Streaming host baselines: every session is scored against the host's past, then added to it, in the order of batch work.
+
+Sessions end in another order than they begin.  A host therefore keeps the places of its open sessions and its closed sessions that
+begin behind one of them; once no open session begins earlier, they leave in order of start, end and id.  All sessions that begin before the
+watermark have been announced by then, so no other can come in between.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hostwatch.config import TimelineConfig
+from hostwatch.functions.scalars import EPS
+from hostwatch.operators.timeline import METRICS, SCORED, Timelines
+from hostwatch.streaming.sessions import Handover
 
-VALUES = ("byte_volume", "duration", "num_flows", "inter_session_gap")
-OUTPUT = ("host_id string, session_id string, dest_id string, start_ts double, end_ts double, n bigint, inter_session_gap double, "
-          + ", ".join(f"{v}_zscore double" for v in VALUES) + ", is_new_destination double, is_idle_hour double")
-STATE = "n bigint, last_end double, " + ", ".join(f"{v}_count bigint, {v}_mean double, {v}_m2 double, {v}_weight double" for v in VALUES)
+PASSED = (("session_id", "string"), ("dest_id", "string"), ("protocol", "string"), ("start_ts", "double"), ("end_ts", "double"), ("label", "int"),
+          ("duration", "double"), ("num_flows", "double"), ("total_orig_bytes", "double"), ("total_resp_bytes", "double"), ("mean_iat", "double"), ("cv_iat", "double"),
+          ("mean_packet_ratio", "double"))
+SESSION = ", ".join(f"{n} {t}" for n, t in PASSED)
+OUTPUT = (f"host_id string, {SESSION}, n bigint, partner_n bigint, inter_session_gap double, partner_gap double, byte_volume double, hour int, "
+          + ", ".join(f"{m}_count bigint, {m}_mean double, {m}_std double" for m in METRICS) + ", "
+          + ", ".join(f"{m}_zscore double" for m in SCORED) + ", is_new_destination double, is_idle_hour double")
+SCORED_ROW = Row(*[c.split()[0] for c in OUTPUT.split(", ")])
+STATE = "n bigint, last_end double, " + ", ".join(f"{m}_count bigint, {m}_mean double, {m}_m2 double, {m}_weight double" for m in METRICS)
 
 
 class HostBaseline(StatefulProcessor):
-    """Per host: decayed moments of each metric, end of the last session, and the known destinations."""
+    """Per host: decayed moments of each metric, its destinations, its open sessions and the closed ones that wait for them."""
 
     def __init__(self, cfg: TimelineConfig = TimelineConfig()):
         self.cfg = cfg
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("moments", STATE)
-        self.known = handle.getMapState("destinations", "dest_id string", "first_seen double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["start_ts", "end_ts", "session_id"])
+        self.known = handle.getMapState("destinations", "dest_id string", "n bigint, last_end double")
+        self.open = handle.getMapState("open", "session_id string", "start_ts double")
+        self.waiting = handle.getListState("waiting", SESSION)
+
+    def handleInitialState(self, key, initial: Row, timerValues) -> None:
+        if initial.kind == "profile":
+            self.state.update(tuple(initial[c.split()[0]] for c in STATE.split(", ")))
+        elif initial.kind == "partner":
+            self.known.updateValue((initial.dest_id,), (initial.n, initial.last_end))
+        elif initial.kind == "open":
+            self.open.updateValue((initial.session_id,), (initial.start_ts,))
+        else:
+            self.waiting.appendValue(tuple(initial[n] for n, _ in PASSED))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        closed = []
+        for r in rows:
+            if r.kind == "open":
+                self.open.updateValue((r.session_id,), (r.start_ts,))
+            else:
+                closed.append(tuple(r[n] for n, _ in PASSED))
+        for r in closed:
+            if self.open.containsKey((r[0],)):
+                self.open.removeKey((r[0],))
+        first = min((v[0] for v in self.open.values()), default=math.inf)
+        waiting = sorted([*map(tuple, self.waiting.get()), *closed], key=lambda r: (r[3], r[4], r[0]))
+        ready = sum(r[3] < first for r in waiting)
+        self.waiting.put(waiting[ready:]) if waiting[ready:] else self.waiting.clear()
+        if ready:
+            yield from self._score(key[0], waiting[:ready])
+
+    def _score(self, host: str, sessions: list[tuple]) -> Iterator[Row]:
         old = self.state.get()
-        n, last_end = (0, math.nan) if old is None else (old[0], old[1])
-        moments = {v: ([0, 0.0, 0.0, 0.0] if old is None else list(old[2 + 4 * i:6 + 4 * i])) for i, v in enumerate(VALUES)}
-        out = []
-        for r in batch.itertuples(index=False):
-            values = {"byte_volume": r.total_orig_bytes + r.total_resp_bytes, "duration": r.duration, "num_flows": float(r.num_flows),
-                      "inter_session_gap": r.start_ts - last_end if n else None}
+        n, last_end = (0, None) if old is None else (old[0], old[1])
+        moments = {m: ([0, 0.0, 0.0, 0.0] if old is None else list(old[2 + 4 * i:6 + 4 * i])) for i, m in enumerate(METRICS)}
+        names = [c for c, _ in PASSED]
+        for session in sessions:
+            r = dict(zip(names, session))
+            seen, partner_end = self.known.getValue((r["dest_id"],)) if self.known.containsKey((r["dest_id"],)) else (0, None)
+            values = {**r, "byte_volume": r["total_orig_bytes"] + r["total_resp_bytes"], "inter_session_gap": r["start_ts"] - last_end if n else None}
             ready = n >= self.cfg.min_sessions
-            new = not self.known.containsKey((r.dest_id,))
-            hour = int(math.floor(r.start_ts / 3600) % 24)
-            out.append((key[0], r.session_id, r.dest_id, r.start_ts, r.end_ts, n + 1, values["inter_session_gap"],
-                        *[_zscore(moments[v], x) if ready and x is not None else None for v, x in values.items()],
-                        float(new) if ready else None, float(hour in self.cfg.idle_hours) if ready else None))
-            for v, x in values.items():
-                if x is not None:
-                    _add(moments[v], x, self.cfg.decay)
-            if new:
-                self.known.updateValue((r.dest_id,), (r.start_ts,))
-            n, last_end = n + 1, r.end_ts
-        self.state.update((n, last_end, *[x for v in VALUES for x in moments[v]]))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+            z = [zscore(moments[m], values[m]) if ready and values[m] is not None else None for m in SCORED]
+            for m in METRICS:
+                if values[m] is not None:
+                    add(moments[m], values[m], self.cfg.decay)
+            hour = math.floor(r["start_ts"] / 3600) % 24
+            states = [x for m in METRICS for x in (moments[m][0], moments[m][1], deviation(moments[m]))]
+            yield SCORED_ROW(host, *session, n + 1, seen + 1, values["inter_session_gap"], None if partner_end is None else r["start_ts"] - partner_end, values["byte_volume"], hour, *states,
+                      *z, float(seen == 0) if ready else None, float(hour in self.cfg.idle_hours) if ready else None)
+            self.known.updateValue((r["dest_id"],), (seen + 1, r["end_ts"]))
+            n, last_end = n + 1, r["end_ts"]
+        self.state.update((n, last_end, *[x for m in METRICS for x in moments[m]]))
 
     def close(self) -> None:
         pass
 
 
-def _add(m: list, x: float, decay: float) -> None:
+def add(m: list, x: float, decay: float) -> None:
     """One observation into (count, mean, m2, weight)."""
     weight = m[3] * decay + 1.0
     mean = m[1] + (x - m[1]) / weight
     m[:] = [m[0] + 1, mean, m[2] * decay + (x - m[1]) * (x - mean), weight]
 
 
-def _zscore(m: list, x: float) -> float:
-    std = math.sqrt(max(0.0, m[2] / m[3])) if m[3] > 0 else 0.0
-    return 0.0 if m[0] < 2 or std < 1e-9 else (x - m[1]) / std
+def deviation(m: list) -> float:
+    return math.sqrt(max(0.0, m[2] / m[3])) if m[3] > 0 else 0.0
+
+
+def zscore(m: list, x: float) -> float:
+    std = deviation(m)
+    return 0.0 if m[0] < 2 or std < EPS else (x - m[1]) / std
+
+
+def initial_state(tl: Timelines, history: Handover) -> DataFrame:
+    """Stored timelines of the released sessions, with what still waits, as the first state of the stream's hosts."""
+    decay = tl.config.decay
+    rows = tl.host_sessions.groupBy("host_id").agg(F.max("n").alias("n"), F.max_by("end_ts", "n").alias("last_end"))
+    # a profile holds the state behind its last session; weights have a closed form
+    moments = {}
+    for m in METRICS:
+        weight = (1 - F.pow(F.lit(decay), F.col(f"{m}_count"))) / (1 - decay)
+        moments |= {f"{m}_m2": F.pow(F.col(f"{m}_std"), 2) * weight, f"{m}_weight": weight}
+    profiles = tl.host_profile.withColumns(moments).select("host_id", *[f"{m}_{p}" for m in METRICS for p in ("count", "mean", "m2", "weight")])
+    profiles = rows.join(profiles, "host_id").withColumn("kind", F.lit("profile"))
+    partners = tl.host_partners.select("host_id", F.lit("partner").alias("kind"), "dest_id", F.col("total_sessions").alias("n"), F.col("last_seen").alias("last_end"))
+    opened = history.opened.withColumn("kind", F.lit("open"))
+    waiting = history.waiting.select("host_id", F.lit("waiting").alias("kind"), *[F.col(c).cast(t).alias(c) for c, t in PASSED])
+    parts = [profiles, partners, opened, waiting]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
 
+def stream_deviations(events: DataFrame, cfg: TimelineConfig = TimelineConfig(), history: tuple[Timelines, Handover] | None = None) -> DataFrame:
+    """Every closed session with its host's baselines and deviations, as ``build_host_sessions`` gives them; state is kept per host (RocksDB).
 
-def stream_deviations(sessions: DataFrame, cfg: TimelineConfig = TimelineConfig()) -> DataFrame:
-    """Deviations of every closed session; state is kept per host (RocksDB state store)."""
-    needed = sessions.select("host_id", "session_id", "dest_id", "start_ts", "end_ts", "duration", "num_flows", "total_orig_bytes", "total_resp_bytes")
-    return needed.groupBy("host_id").transformWithStateInPandas(HostBaseline(cfg), OUTPUT, "Append", "None")
+    ``events`` is the result of ``stream_events``; a stream of sessions that all come in host order will do as well.  ``history`` continues stored timelines.
+    """
+    kind = F.col("kind") if "kind" in events.columns else F.lit("closed")
+    needed = events.select("host_id", kind.alias("kind"), *[F.col(c).cast(t).alias(c) for c, t in PASSED])
+    initial = initial_state(*history).groupBy("host_id") if history is not None else None
+    return needed.groupBy("host_id").transformWithState(HostBaseline(cfg), OUTPUT, "Append", "None", initialState=initial)
 
 
 def stream_alerts(deviations: DataFrame, z: float = TimelineConfig().z_threshold) -> DataFrame:
     """Deviating sessions only; a stateless filter."""
-    strongest = F.greatest(*[F.coalesce(F.abs(F.col(f"{v}_zscore")), F.lit(0.0)) for v in VALUES])
+    strongest = F.greatest(*[F.coalesce(F.abs(F.col(f"{m}_zscore")), F.lit(0.0)) for m in SCORED])
     return deviations.filter(strongest >= z)
