@@ -90,9 +90,8 @@ def persistence_features(sessions: DataFrame, keys: Sequence[str] = HOST, order:
     """
     vector = F.array(*[F.col(f"total_{p}") / F.col("num_flows") for p in PROFILE],
                      *[F.col(c) for c in ("mean_bytes_per_pkt", "mean_packet_ratio", "mean_byte_ratio", "mean_iat")])
-    rows = KeyedRows.plan(sessions.withColumn("_v", vector), tuple(keys) + ("dest_id",), ORDERS[order], time="start_ts", skew=skew)
-    rows = rows.lag(_end="end_ts", _w="_v")
-    rows = rows.last_seen(_first=F.when(F.col("_end").isNull(), F.col("start_ts")))
+    rows = KeyedRows.plan(sessions.withColumn("_v", vector), tuple(keys) + ("dest_id",), ORDERS[order], skew=skew)
+    rows = rows.scan(lag={"_end": "end_ts", "_w": "_v"}, cut=F.col("_end").isNull(), at_cut={"_first": F.col("start_ts")})
 
     def dot(a: str, b: str) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, p: s + p)

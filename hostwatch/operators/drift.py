@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hostwatch.config import FEATURES
-from hostwatch.operators.rank import exact_quantiles
+from hostwatch.operators.lineage import cut
+from hostwatch.operators.rank import column_quantiles
 from hostwatch.operators.sessions import min_flows as at_least
 from hostwatch.operators.transforms import real_flows
 
@@ -23,16 +24,11 @@ def _moments(flows: DataFrame, side: str) -> DataFrame:
 SIDES = ("source", "target")
 
 
-def _exact_quantiles(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Median and 95th percentile of both sides at once: one row per (side, feature, value) first."""
-    def tall(flows: DataFrame, side: str) -> DataFrame:
-        rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in FEATURES])
-        return flows.select(F.lit(side).alias("side"), F.inline(rows))
-
-    both = tall(source, "source").unionByName(tall(target, "target"))
-    found = exact_quantiles(both, "value", {"median": 0.5, "p95": 0.95}, by=("side", "feature"))
-    return found.groupBy("feature").agg(*[F.max(F.when(F.col("side") == s, F.col(q))).alias(f"{s}_{q}")
-                                          for s in SIDES for q in ("median", "p95")])
+def _exact_quantiles(both: DataFrame) -> DataFrame:
+    """Median and 95th percentile of every feature on both sides, from one table of the flows of both."""
+    found = column_quantiles(both, FEATURES, {"median": 0.5, "p95": 0.95}, by="side")
+    return found.groupBy(F.col("column").alias("feature")).agg(*[F.max(F.when((F.col("side") == s) & (F.col("quantile") == q), F.col("value"))).alias(f"{s}_{q}")
+                                                               for s in SIDES for q in ("median", "p95")])
 
 
 def _approximate_quantiles(flows: DataFrame, side: str) -> DataFrame:
@@ -56,9 +52,12 @@ def flow_drift(source: DataFrame, target: DataFrame, exact: bool = True) -> Data
 
     ``exact=False`` takes approximate quantiles in the same single pass as the moments.
     """
+    if exact:  # read several times
+        both = cut(source.select(F.lit("source").alias("side"), *FEATURES).unionByName(target.select(F.lit("target").alias("side"), *FEATURES)))
+        source, target = (both.filter(F.col("side") == s) for s in SIDES)
     out = _moments(source, "source").join(_moments(target, "target"), "feature")
     if exact:
-        out = out.join(_exact_quantiles(source, target), "feature")
+        out = out.join(_exact_quantiles(both), "feature")
     else:
         for flows, side in ((source, "source"), (target, "target")):
             out = out.join(_approximate_quantiles(flows, side), "feature")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -82,12 +83,91 @@ def global_running_sum(df: DataFrame, order: str, sums: dict[str, str], by: Sequ
         "_place", *buckets, *[f"_o_{n}" for n in sums], *[f"_s{k}" for k in range(len(slot))])
 
 
-def global_rank(df: DataFrame, order: str, descending: bool = False, name: str = "rank") -> DataFrame:
-    """Competition rank (1 + rows strictly before) of every row over the whole table."""
-    counts = df.groupBy(order).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = global_running_sum(counts, order, {"_c": "_n"}, descending=descending)
-    ranked = ranked.select(order, (F.col("_c") - F.col("_n") + 1).alias(name))
-    return df.join(ranked, order)
+RANK_PARTS = 20_000  # range partitions at most: a row of each is sent to all tasks
+
+
+def global_rank(df: DataFrame, order: str, descending: bool = False, name: str = "rank", parts: int | None = None) -> DataFrame:
+    """Competition rank (1 + rows strictly before) of every row over the whole table; nulls come first, or last if descending.
+
+    Rows are dealt into sorted range partitions (equal values by a hash of the row, so that one value may fill many), numbered
+    inside each, and shifted by the rows of the partitions before; a value that goes on over a border keeps the rank it began with.
+    Nothing is joined on the value.
+    """
+    if parts is None:
+        parts = min(max(8, -(-df.count() // PART_ROWS)), RANK_PARTS)
+    key = F.desc(order) if descending else F.asc(order)
+    dealt = cut(df.repartitionByRange(parts, key, F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in df.columns])).sortWithinPartitions(key))
+    at = df.columns.index(order)
+    kind = df.schema[order].dataType.simpleString()
+    borders = dealt.mapInArrow(_border(at), f"_part long, _rows long, first {kind}, last {kind}, _last_at long").orderBy("_part").collect()  # a row per partition
+    shifts, before, begun, last = {}, 0, 0, object()
+    for b in borders:
+        goes_on = before > 0 and (b["first"] == last or b["first"] != b["first"] and last != last)
+        shifts[b["_part"]] = before, begun if goes_on else None
+        if not (goes_on and b["_last_at"] == 0):
+            begun = before + b["_last_at"] + 1
+        before, last = before + b["_rows"], b["last"]
+    schema = df.schema.add(name, "long") if name not in df.columns else df.schema
+    return dealt.mapInArrow(_ranked(at, name, shifts), schema)
+
+
+def _firsts(column, last):
+    """Where a run of equal values begins in a sorted column, and whether its first row goes on with ``last`` (a one-value array, or None)."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    ahead = pa.concat_arrays([last if last is not None else column.slice(0, 1), column.slice(0, len(column) - 1)])
+    if pa.types.is_floating(column.type):  # as Spark compares: not a number is one value, and both zeros are
+        same = pc.fill_null(pc.or_(pc.equal(column, ahead), pc.and_(pc.is_nan(column), pc.is_nan(ahead))), False)
+    else:
+        same = pc.fill_null(pc.equal(column, ahead), False)
+    same = pc.or_(same, pc.and_(pc.is_null(column), pc.is_null(ahead))).to_numpy(zero_copy_only=False).copy()
+    if last is None:
+        same[0] = False
+    return np.flatnonzero(~same), bool(same[0])
+
+
+def _border(at: int):
+    """Of each partition: its number, rows, first and last value, and the place where the run of the last value begins."""
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        rows, first, last, last_at = 0, None, None, 0
+        for batch in batches:
+            if batch.num_rows:
+                column = batch.column(at)
+                starts, _ = _firsts(column, last)
+                first = column.slice(0, 1) if first is None else first
+                last_at = rows + int(starts[-1]) if len(starts) else last_at
+                rows, last = rows + batch.num_rows, column.slice(batch.num_rows - 1, 1)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([rows]), first, last, pa.array([last_at])],
+                                             names=["_part", "_rows", "first", "last", "_last_at"])
+    return run
+
+
+def _ranked(at: int, name: str, shifts: dict):
+    """Rows with their rank, from ``shifts``: rows before the partition, and the rank of its first value if that began earlier."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        before, rank = shifts.get(TaskContext.get().partitionId(), (0, None))
+        rows, last = 0, None
+        for batch in batches:
+            if batch.num_rows:
+                starts, goes_on = _firsts(batch.column(at), last)
+                ranks = np.repeat([rank or 0, *(before + rows + starts + 1)], np.diff([0, *starts, batch.num_rows]))
+                if last is None and rank is not None:  # the first value began in an earlier partition
+                    ranks[:starts[1] if len(starts) > 1 else batch.num_rows] = rank
+                rank, last = int(ranks[-1]), batch.column(at).slice(batch.num_rows - 1, 1)
+                rows += batch.num_rows
+                columns = {n: c for n, c in zip(batch.schema.names, batch.columns)} | {name: pa.array(ranks.astype(np.int64))}
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    return run
 
 
 def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
@@ -111,3 +191,97 @@ def interpolated(value: Column, up_to: Column, n: Column, total: Column, q: floa
         return F.max(F.when((up_to - n <= index) & (index < up_to), value))
 
     return at(low) + (at(high) - at(low)) * F.max(position - low)
+
+
+BRACKET = 1_000_000  # values between the bounds of a quantile that are counted one by one
+ACCURACY = 10_000
+
+
+def column_quantiles(df: DataFrame, values: Sequence[str], qs: dict[str, float], by: str, accuracy: int = ACCURACY, bracket: int = BRACKET) -> DataFrame:
+    """Exact linearly interpolated quantiles of many columns: rows ``by, column, quantile, value`` for each of ``qs={quantile: q}``.
+
+    ``by`` has a few values (two sides of a comparison); their bounds are held by the driver.  Every column gets an interval around each
+    wanted rank from approximate quantiles; the interval is checked by counting, and narrowed again while more than ``bracket``
+    values lie in it.  Only values inside an interval become rows, so no row per column and value is shuffled.  Nulls count for nothing.
+    """
+    wanted = [(c, n) for c in values for n in qs]
+    groups = [r[0] for r in df.groupBy(by).count().select(by).orderBy(by).collect()]
+    bounds = {(g, *w): (None, None) for g in groups for w in wanted}  # None: open
+    counts: dict = {}
+
+    def side(column: str, quantile: str, which: int) -> Column:
+        """The bound of the row's group."""
+        out = F.lit(None).cast("double")
+        for g in groups:
+            out = F.when(F.col(by).eqNullSafe(F.lit(g)), F.lit(bounds[g, column, quantile][which]).cast("double")).otherwise(out)
+        return out
+
+    def inside(column: str, quantile: str) -> Column:
+        low, high = side(column, quantile, 0), side(column, quantile, 1)
+        return F.col(column).isNotNull() & (low.isNull() | (F.col(column) >= low)) & (high.isNull() | (F.col(column) <= high))
+
+    slack, open_ = 2.0 / accuracy, set(bounds)
+    while open_:
+        # approximate quantiles inside the intervals, on both sides of the wanted rank
+        place = {}
+        for k in open_:
+            n, below, within = counts.get(k, (None, 0, None))
+            p = qs[k[2]] if n is None else ((n - 1) * qs[k[2]] + 0.5 - below) / within
+            extra = slack if n is None else slack + 1 / within
+            place[k] = max(p - extra, 0.0), min(p + extra, 1.0)
+        todo = sorted({k[1:] for k in open_})
+
+        def points(column: str, quantile: str) -> Column:
+            out = F.lit(None).cast("array<double>")
+            for g in groups:
+                if (g, column, quantile) in open_:
+                    some = F.percentile_approx(F.when(F.col(by).eqNullSafe(F.lit(g)) & inside(column, quantile), F.col(column).cast("double")),
+                                               [*place[g, column, quantile]], accuracy)
+                    out = F.when(F.col(by).eqNullSafe(F.lit(g)), some).otherwise(out)
+            return out
+
+        found = {r[by]: r for r in df.groupBy(by).agg(*[points(*w).alias(f"p{i}") for i, w in enumerate(todo)]).collect()}
+        before = dict(bounds)
+        for i, w in enumerate(todo):
+            for g in groups:
+                if (g, *w) in open_ and found[g][f"p{i}"]:
+                    low, high = found[g][f"p{i}"]
+                    bounds[g, *w] = low if place[g, *w][0] > 0 else bounds[g, *w][0], high if place[g, *w][1] < 1 else bounds[g, *w][1]
+        checked = {r[by]: r for r in df.groupBy(by).agg(*[e for i, w in enumerate(todo) for e in (
+            F.count(w[0]).alias(f"n{i}"), F.coalesce(F.sum((F.col(w[0]) < side(*w, 0)).cast("bigint")), F.lit(0)).alias(f"b{i}"),
+            F.coalesce(F.sum(inside(*w).cast("bigint")), F.lit(0)).alias(f"w{i}"))]).collect()}
+        left = set()
+        for i, w in enumerate(todo):
+            for g in groups:
+                k = (g, *w)
+                if k not in open_:
+                    continue
+                n, below, within = (checked[g][f"{c}{i}"] for c in "nbw")
+                position = (n - 1) * qs[w[1]]
+                if n and not (below <= math.floor(position) and math.ceil(position) < below + within):
+                    bounds[k] = before[k]  # beside the wanted rank: again with more slack
+                    left.add(k)
+                    continue
+                shrunk = k not in counts or within < counts[k][2]
+                counts[k] = n, below, within
+                low, high = bounds[k]
+                if within > bracket and (low is None or high is None or low < high) and shrunk:
+                    left.add(k)
+        slack = slack * 8 if any(bounds[k] == before[k] for k in left) else slack
+        open_ = left
+
+    # values inside the intervals, counted
+    rows = F.array_compact(F.array(*[F.when(inside(*w), F.struct(F.lit(w[0]).alias("column"), F.lit(w[1]).alias("quantile"), F.col(w[0]).cast("double").alias("value"))) for w in wanted]))
+    tally = df.select(by, F.inline(rows)).groupBy(by, "column", "quantile", "value").agg(F.count(F.lit(1)).alias("_n"))
+    known = df.sparkSession.createDataFrame([(*k, *counts[k][:2]) for k in counts], df.select(by).schema.add("column", "string").add("quantile", "string").add("_all", "long").add("_below", "long"))
+    tally = tally.join(F.broadcast(known), [by, "column", "quantile"])  # a row per group, column and quantile
+    up_to = Window.partitionBy(by, "column", "quantile").orderBy("value")
+    tally = tally.withColumn("_c", F.sum("_n").over(up_to) + F.col("_below"))
+    q = reduce(lambda out, n: F.when(F.col("quantile") == n, F.lit(float(qs[n]))).otherwise(out), qs, F.lit(None).cast("double"))
+    position = (F.col("_all") - 1) * q
+    low, high = F.floor(position), F.ceil(position)
+
+    def at(index: Column) -> Column:
+        return F.max(F.when((F.col("_c") - F.col("_n") <= index) & (index < F.col("_c")), F.col("value")))
+
+    return tally.groupBy(by, "column", "quantile").agg((at(low) + (at(high) - at(low)) * F.max(position - low)).alias("value"))

@@ -15,16 +15,15 @@ from hostwatch.operators.ordered import KeyedRows
 FLOW_TYPE = "struct<" + ",".join(f"{f}:double" for f in FEATURES) + ">"
 
 
-def session_starts(rows: KeyedRows, timeout: float = INACTIVITY_TIMEOUT, marked: bool = False) -> KeyedRows:
+def session_starts(rows: KeyedRows, timeout: float = INACTIVITY_TIMEOUT, number: str | None = None) -> KeyedRows:
     """Tag every flow with the time and id of the first flow of its session.
 
-    A gap strictly longer than ``timeout`` starts a session.  ``marked`` adds ``_cut``, 1 for the row that starts one.
+    A gap strictly longer than ``timeout`` starts a session.  ``number`` adds the position of the session in its key; it counts
+    the cuts themselves, as repeated rows share time and id with the first one of a session.
     """
-    rows = rows.lag(_prev="ts")
     cut = F.col("_prev").isNull() | (F.col("ts") - F.col("_prev") > F.lit(float(timeout)))
-    rows = rows.last_seen(_start=F.when(cut, F.struct(F.col("ts").alias("t"), F.col("flow_id").alias("f"))))
-    rows = rows.with_columns({"start_ts": F.col("_start.t"), "start_flow_id": F.col("_start.f"), **({"_cut": cut.cast("bigint")} if marked else {})})
-    return rows.drop("_prev", "_start")
+    rows = rows.scan(lag={"_prev": "ts"}, cut=cut, at_cut={"_start": F.struct(F.col("ts").alias("t"), F.col("flow_id").alias("f"))}, cut_number=number)
+    return rows.with_columns({"start_ts": F.col("_start.t"), "start_flow_id": F.col("_start.f")}).drop("_prev", "_start")
 
 
 def session_id(keys: Sequence[str] = FLOW_KEY) -> Column:
@@ -42,9 +41,7 @@ def sessionize(df: DataFrame, timeout: float = INACTIVITY_TIMEOUT, keys: Sequenc
     """
     require_columns(df, ("ts", "flow_id") + tuple(keys), "flow table")
     group = tuple(extra_keys) + tuple(keys)
-    rows = session_starts(KeyedRows.plan(drop_unusable(df), group, FLOW_ORDER, skew=skew), timeout, numbered)
-    if numbered:  # by the cut itself: repeated rows share time and id with the first one of a session
-        rows = rows.running_sum(session_no=F.col("_cut")).drop("_cut")
+    rows = session_starts(KeyedRows.plan(drop_unusable(df), group, FLOW_ORDER, skew=skew), timeout, "session_no" if numbered else None)
     return rows.done().withColumn("session_id", session_id(group))
 
 

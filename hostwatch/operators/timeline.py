@@ -46,11 +46,11 @@ def number_rows(summaries: DataFrame, order: str = "time", keys: Sequence[str] =
                 skew: SkewConfig | None = SKEW) -> KeyedRows:
     """``number_sessions`` together with how its keys are laid out."""
     by = ORDERS[order]
-    rows = KeyedRows.plan(summaries, keys, by, time="start_ts", skew=skew).number("n").lag(_end="end_ts")
+    rows = KeyedRows.plan(summaries, keys, by, skew=skew).scan(number="n", lag={"_end": "end_ts"})
     rows = rows.with_columns({"inter_session_gap": F.col("start_ts") - F.col("_end")}).drop("_end")
     # A pair can only be hot when its host is.
-    pairs = KeyedRows.plan(rows.done(), tuple(keys) + ("dest_id",), by, time="start_ts", skew=skew if rows.sliced else None)
-    pairs = pairs.number("partner_n").lag(_end="end_ts")
+    pairs = KeyedRows.plan(rows.done(), tuple(keys) + ("dest_id",), by, skew=skew if rows.sliced else None)
+    pairs = pairs.scan(number="partner_n", lag={"_end": "end_ts"})
     df = pairs.done().withColumn("partner_gap", F.col("start_ts") - F.col("_end")).drop("_end")
     return replace(rows, df=df)
 
