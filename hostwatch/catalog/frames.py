@@ -40,6 +40,12 @@ def sessions(spark: SparkSession, sf: str, min_flows: int = 1) -> DataFrame:
     return SS.build_sessions(T.flows_from_events(spark, sf), timeout=T.EVENT_TIMEOUT, min_flows=min_flows)
 
 
+def limited(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions over the ordered feature matrix, every feature within its limits."""
+    matrix = FL.feature_matrix(T.flows_from_events(spark, sf), keep=(*FL.ENDPOINTS, "flow_id", "label"))
+    return SS.build_sessions(matrix, timeout=T.EVENT_TIMEOUT)
+
+
 def stored(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions as a dataset with provenance."""
     return sessions(spark, sf).withColumns({"source": F.lit("unknown"), "capture_id": F.lit("events"), "sample_id": F.col("session_id")})

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml import Transformer
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from hostwatch.catalog import frames as fr, query, sql
 from hostwatch.catalog.frames import tidy
-from hostwatch.operators import metrics as M, splits as SP, transforms as TR
+from hostwatch.operators import metrics as M, sessions as SS, splits as SP, transforms as TR
 from hostwatch.operators.lineage import cut
 from hostwatch.plans import models as ML
 from hostwatch.sources import tables as T
@@ -103,6 +105,81 @@ def m07(spark, sf):
     return tidy(d.select("split_name", "n_total", "n_positive", "score_mean", "positive_mean", "negative_p50", "predicted_positive_rate"))
 
 
+# A detector with fixed coefficients: its transforms, normaliser, pooling and operating point are the engine's, and SQL can follow them.
+class LinearRule(Transformer):
+    """Logistic score of some pooled features with given weights."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def _transform(self, df):
+        values, names = vector_to_array("features"), SS.pooled_names()
+        z = sum((values[names.index(n)] * w for n, w in self.weights.items()), F.lit(0.0))
+        p = 1 / (1 + F.exp(-z))
+        return df.withColumn("probability", array_to_vector(F.array(1 - p, p)))
+
+
+HALF, RULE_WEIGHTS = 1705363200, {"iat_mean": 1.0, "orig_bytes_mean": -1.5, "is_outbound_mean": 0.25}
+
+
+def fixed_detector(stored, min_flows=3):
+    early = TR.apply_transforms(SS.min_flows(stored.filter(F.col("start_ts") < HALF), min_flows))
+    return ML.Detector(LinearRule(RULE_WEIGHTS), 0.5, 0.03, normalizer=cut(TR.fit_normalizer(early)))
+
+
+ENGINE = f"""WITH {sql.kept()}, v AS (SELECT session_id, start_ts, n_flows, ln(1 + iat) AS li, ln(1 + orig_bytes) AS lb, is_outbound AS o FROM kept),
+  fit AS (SELECT avg(li) AS im, CASE WHEN stddev_pop(li) < 1e-6 THEN 1 ELSE stddev_pop(li) END AS isd, avg(lb) AS bm, CASE WHEN stddev_pop(lb) < 1e-6 THEN 1 ELSE stddev_pop(lb) END AS bsd,
+    avg(o) AS om, CASE WHEN stddev_pop(o) < 1e-6 THEN 1 ELSE stddev_pop(o) END AS osd FROM v WHERE start_ts < {HALF} AND n_flows >= 3),
+  labels_of AS (SELECT session_id, CASE WHEN 2 * sum(label) > count(label) THEN 1 ELSE 0 END AS label FROM tagged GROUP BY session_id),
+  every AS (SELECT session_id AS sample_id, any_value(label) AS label, any_value(start_ts) AS start_ts, any_value(n_flows) AS n_flows,
+    1 / (1 + exp(-(avg((li - im) / isd) - CAST(1.5 AS DOUBLE) * avg((lb - bm) / bsd) + CAST(0.25 AS DOUBLE) * avg((o - om) / osd)))) AS score
+    FROM v JOIN labels_of USING (session_id), fit GROUP BY session_id)"""
+RATES = """r AS (SELECT *, coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0) AS recall, coalesce(fp / nullif(CAST(fp + tn AS DOUBLE), 0), 0) AS fpr,
+    coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0) AS f1 FROM c),
+  a AS (SELECT coalesce((sum(k) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / CAST(2 AS DOUBLE))
+    / nullif(CAST(count(*) FILTER (label = 1) AS DOUBLE) * count(*) FILTER (label = 0), 0), 0) AS auc
+    FROM (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / CAST(2 AS DOUBLE) AS k FROM test))"""
+
+
+@query("m05_engine_external", f"""{ENGINE}, test AS (SELECT * FROM every WHERE start_ts >= {HALF}), c AS (SELECT {CELLS} FROM test), {RATES}
+  SELECT tp, fp, fn, tn, round(recall, 6) AS recall, round(fpr, 6) AS fpr, round(f1, 6) AS f1, round(auc, 6) AS auc, fpr <= CAST(0.03 AS DOUBLE) AS budget_met,
+    round(CAST(1000000 AS DOUBLE) * (fp + tn) / (tp + fp + fn + tn) * fpr, 4) AS expected_false_alerts_per_day FROM r, a""")
+def m05_engine(spark, sf):
+    stored = cut(fr.stored(spark, sf))
+    d = ML.evaluate_external(stored.filter(F.col("start_ts") >= HALF), fixed_detector(stored))
+    return d.select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("recall", "fpr", "f1", "auc")], "budget_met",
+                    F.round("expected_false_alerts_per_day", 4).alias("expected_false_alerts_per_day"))
+
+
+ENGINE_HELD = f"{ENGINE}, scored AS (SELECT sample_id, label, score FROM every WHERE n_flows >= 3), {HELD}"
+
+
+@query("m06_engine_holdout", f"""{ENGINE_HELD}, c AS (SELECT {CELLS} FROM test), {RATES}
+  SELECT tp, fp, fn, tn, tp + fn AS n_c2, fp + tn AS n_benign, tp + fp + fn + tn AS n_test, round(recall, 6) AS recall, round(fpr, 6) AS fpr, round(f1, 6) AS f1, round(auc, 6) AS auc FROM r, a""")
+def m06_engine(spark, sf):
+    stored = cut(fr.stored(spark, sf))
+    d = ML.evaluate_holdout(stored, fixed_detector(stored), min_flows=3)
+    return d.select("tp", "fp", "fn", "tn", "n_c2", "n_benign", "n_test", *[F.round(c, 6).alias(c) for c in ("recall", "fpr", "f1", "auc")])
+
+
+SUMMARY_SQL = """count(*) AS n_total, count(*) FILTER (label = 1) AS n_positive, count(*) FILTER (label = 0) AS n_negative, round(avg(score), 6) AS score_mean, round(stddev_pop(score), 6) AS score_std,
+  round(coalesce(avg(score) FILTER (label = 1), 0), 6) AS positive_mean, round(coalesce(avg(score) FILTER (label = 0), 0), 6) AS negative_mean,
+  round(coalesce(quantile_cont(score, 0.5) FILTER (label = 1), 0), 6) AS positive_p50, round(coalesce(quantile_cont(score, 0.95) FILTER (label = 1), 0), 6) AS positive_p95,
+  round(coalesce(quantile_cont(score, 0.5) FILTER (label = 0), 0), 6) AS negative_p50, round(coalesce(quantile_cont(score, 0.95) FILTER (label = 0), 0), 6) AS negative_p95,
+  round(avg(CAST(score >= 0.5 AS INTEGER)), 6) AS predicted_positive_rate, round(coalesce(avg(CAST(score >= 0.5 AS INTEGER)) FILTER (label = 1), 0), 6) AS recall_at_threshold,
+  round(coalesce(avg(CAST(score >= 0.5 AS INTEGER)) FILTER (label = 0), 0), 6) AS fpr_at_threshold"""
+
+
+@query("m07_engine_report", f"""{ENGINE_HELD}, whole AS (SELECT * FROM every WHERE n_flows >= 3)
+  SELECT 'holdout' AS split_name, {SUMMARY_SQL} FROM test UNION ALL SELECT 'full' AS split_name, {SUMMARY_SQL} FROM whole""")
+def m07_engine(spark, sf):
+    stored = cut(fr.stored(spark, sf))
+    detector = fixed_detector(stored)
+    reports = [ML.score_report(stored, detector, split, min_flows=3).drop("threshold") for split in ("holdout", "full")]
+    return tidy(reports[0].unionByName(reports[1]))
+
+
 @query("m07_detector_report")
 def m07_detector(spark, sf):
     stored = cut(fr.stored(spark, sf))

@@ -231,3 +231,17 @@ def j04(spark, sf):
 @query("j08_top_drift", f"{DRIFT} SELECT feature, round(standardized_mean_shift, 6) AS standardized_mean_shift FROM d ORDER BY d.standardized_mean_shift DESC, feature LIMIT 5")
 def j08(spark, sf):
     return tidy(DR.top_drift(drift(spark, sf), 5).select("feature", "standardized_mean_shift"))
+
+
+def _limited_side(side: str, test: str) -> str:
+    return f"{side} AS (" + " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, avg({f}) AS {side}_mean, stddev_pop({f}) AS {side}_std, median({f}) AS {side}_median, quantile_cont({f}, 0.95) AS {side}_p95 "
+        f"FROM limited WHERE n_flows >= 3 AND start_ts {test} {HALF}" for f in FEATURES) + ")"
+
+
+@query("a18_drift_limited", f"WITH {sql.limited()}, {_limited_side('source', '<')}, {_limited_side('target', '>=')} SELECT feature, {', '.join(f'round({c}, 4) AS {c}' for c in COLUMNS)}, "
+                            "round(abs(target_mean - source_mean) / (sqrt((source_std ** 2 + target_std ** 2) / 2) + 1e-9), 6) AS standardized_mean_shift FROM source JOIN target USING (feature)")
+def a18_limited(spark, sf):
+    s = cut(fr.limited(spark, sf))
+    d = DR.feature_drift(s.filter(F.col("start_ts") < HALF), s.filter(F.col("start_ts") >= HALF), min_flows=3)
+    return d.select("feature", *[F.round(c, 4).alias(c) for c in COLUMNS], F.round("standardized_mean_shift", 6).alias("standardized_mean_shift"))

@@ -139,6 +139,15 @@ def a04(spark, sf):
     return d.select("session_id", *[F.round(n, _digits(n)).alias(n) for n in SS.pooled_names() if not n.startswith(("packet_ratio", "byte_ratio"))])
 
 
+@query("a04_pool_limited", f"WITH {sql.limited()} SELECT session_id, " + ", ".join(
+    f"round({fn}({f}), {_digits(f + '_' + stat)}) AS {f}_{stat}" for stat, fn in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max")) for f in FEATURES)
+    + " FROM limited GROUP BY session_id")
+def a04_limited(spark, sf):
+    """All 48 columns, over the feature matrix within its limits."""
+    d = SS.pool_sessions(fr.limited(spark, sf))
+    return d.select("session_id", *[F.round(n, _digits(n)).alias(n) for n in SS.pooled_names()])
+
+
 @query("a05_class_counts", f"""WITH {sql.SUMMARIES} SELECT dest_id, count(*) AS total, CAST(sum(label) AS BIGINT) AS c2, CAST(count(*) - sum(label) AS BIGINT) AS benign,
   round(100 * CAST(sum(label) AS DOUBLE) / count(*), 6) AS c2_pct, count(DISTINCT host_id) AS unique_hosts FROM summaries GROUP BY dest_id""")
 def a05(spark, sf):
@@ -163,6 +172,21 @@ def a17(spark, sf):
     return tidy(TR.fit_normalizer(d), 4)
 
 
+@query("a06_host_key_limited", f"""WITH {sql.limited()} SELECT session_id, 'unknown:events:dp' || CAST(CAST(trunc(median(dst_port)) AS BIGINT) AS VARCHAR)
+    || ':sp' || CAST(CAST(trunc(median(src_port)) AS BIGINT) AS VARCHAR) || ':br' || CAST(CAST(trunc(median(byte_ratio) * 100) AS BIGINT) AS VARCHAR)
+    || ':pr' || CAST(CAST(trunc(median(packet_ratio) * 100) AS BIGINT) AS VARCHAR) || ':o' || CAST(CAST(round_even(avg(is_outbound), 0) AS BIGINT) AS VARCHAR) AS host_id
+  FROM limited GROUP BY session_id""")
+def a06_limited(spark, sf):
+    d = fr.limited(spark, sf).withColumns({"source": F.lit("unknown"), "capture_id": F.lit("events")})
+    return SS.with_host_key(d).select("session_id", "host_id")
+
+
+@query("a17_fit_limited", f"WITH {sql.limited()} SELECT count(*) AS n_flows, " + ", ".join(
+    f"round(avg({f}), 4) AS {f}_mean, round(CASE WHEN stddev_pop({f}) < 1e-6 THEN 1 ELSE stddev_pop({f}) END, 4) AS {f}_std" for f in FEATURES) + " FROM limited")
+def a17_limited(spark, sf):
+    return tidy(TR.fit_normalizer(fr.limited(spark, sf)), 4)
+
+
 @query("p30_normalise", f"""WITH {sql.kept()}, st AS (SELECT *, ln(1 + iat) AS li, ln(1 + orig_bytes) AS lb FROM kept),
   fit AS (SELECT avg(li) AS im, stddev_pop(li) AS isd, avg(lb) AS bm, stddev_pop(lb) AS bsd, avg(orig_pkts) AS pm, stddev_pop(orig_pkts) AS psd FROM st)
   SELECT session_id, pos, round((li - im) / isd, 6) AS iat, round((lb - bm) / bsd, 6) AS orig_bytes, round((orig_pkts - pm) / psd, 6) AS orig_pkts FROM st, fit""")

@@ -75,6 +75,18 @@ def kept(columns: str = "*", where: str = "") -> str:
   FROM tagged WHERE back <= 20 {where})"""
 
 
+def limited() -> str:
+    """``kept`` with every feature within its limits, as ``limited``."""
+    from hostwatch.operators.flows import LIMITS
+
+    def within(f: str) -> str:
+        low, high = LIMITS.get(f, (None, None))
+        value = f if low is None else f"greatest({f}, CAST({low} AS DOUBLE))"
+        return f"{value if high is None else f'least({value}, CAST({high!r} AS DOUBLE))'} AS {f}"
+
+    return f"{kept()}, limited AS (SELECT session_id, start_ts, n_flows, pos, {', '.join(map(within, FEATURES))} FROM kept)"
+
+
 HOSTS = f"""{SUMMARIES}, ordered AS (
   SELECT *, row_number() OVER h AS n, start_ts - lag(end_ts) OVER h AS inter_session_gap,
     row_number() OVER p AS partner_n, start_ts - lag(end_ts) OVER p AS partner_gap,

@@ -206,64 +206,65 @@ def column_quantiles(df: DataFrame, values: Sequence[str], qs: dict[str, float],
     """
     wanted = [(c, n) for c in values for n in qs]
     groups = [r[0] for r in df.groupBy(by).count().select(by).orderBy(by).collect()]
-    bounds = {(g, *w): (None, None) for g in groups for w in wanted}  # None: open
+    numbered = F.lit(None).cast("int")
+    for i, g in enumerate(groups):
+        numbered = F.when(F.col(by).eqNullSafe(F.lit(g)), F.lit(i)).otherwise(numbered)
+    df = df.select(by, *values, numbered.alias("_g"))
+    bounds = {(g, *w): (None, None) for g in range(len(groups)) for w in wanted}  # None: open
     counts: dict = {}
 
-    def side(column: str, quantile: str, which: int) -> Column:
-        """The bound of the row's group."""
-        out = F.lit(None).cast("double")
-        for g in groups:
-            out = F.when(F.col(by).eqNullSafe(F.lit(g)), F.lit(bounds[g, column, quantile][which]).cast("double")).otherwise(out)
-        return out
+    # expressions are written as text: a hundred bounds would take seconds to put together call by call
+    def number(x: float) -> str:
+        return f"CAST('{float(x)!r}' AS DOUBLE)"
 
-    def inside(column: str, quantile: str) -> Column:
-        low, high = side(column, quantile, 0), side(column, quantile, 1)
-        return F.col(column).isNotNull() & (low.isNull() | (F.col(column) >= low)) & (high.isNull() | (F.col(column) <= high))
+    def by_group(pick) -> str:
+        parts = [f"WHEN {g} THEN {e}" for g in range(len(groups)) if (e := pick(g)) is not None]
+        return f"CASE _g {' '.join(parts)} END" if parts else "NULL"
+
+    def inside(column: str, quantile: str) -> str:
+        def test(g: int) -> str:
+            low, high = bounds[g, column, quantile]
+            ends = [f"`{column}` {sign} {number(x)}" for sign, x in ((">=", low), ("<=", high)) if x is not None]
+            return " AND ".join([f"`{column}` IS NOT NULL", *ends])
+        return by_group(test)
+
+    def below(column: str, quantile: str) -> str:
+        return by_group(lambda g: "false" if bounds[g, column, quantile][0] is None else f"`{column}` < {number(bounds[g, column, quantile][0])}")
 
     slack, open_ = 2.0 / accuracy, set(bounds)
     while open_:
         # approximate quantiles inside the intervals, on both sides of the wanted rank
         place = {}
         for k in open_:
-            n, below, within = counts.get(k, (None, 0, None))
-            p = qs[k[2]] if n is None else ((n - 1) * qs[k[2]] + 0.5 - below) / within
+            n, under, within = counts.get(k, (None, 0, None))
+            p = qs[k[2]] if n is None else ((n - 1) * qs[k[2]] + 0.5 - under) / within
             extra = slack if n is None else slack + 1 / within
             place[k] = max(p - extra, 0.0), min(p + extra, 1.0)
-        todo = sorted({k[1:] for k in open_})
-
-        def points(column: str, quantile: str) -> Column:
-            out = F.lit(None).cast("array<double>")
-            for g in groups:
-                if (g, column, quantile) in open_:
-                    some = F.percentile_approx(F.when(F.col(by).eqNullSafe(F.lit(g)) & inside(column, quantile), F.col(column).cast("double")),
-                                               [*place[g, column, quantile]], accuracy)
-                    out = F.when(F.col(by).eqNullSafe(F.lit(g)), some).otherwise(out)
-            return out
-
-        found = {r[by]: r for r in df.groupBy(by).agg(*[points(*w).alias(f"p{i}") for i, w in enumerate(todo)]).collect()}
+        keys = sorted(open_, key=str)
+        names = [f"percentile_approx(CASE WHEN _g = {k[0]} AND {inside(*k[1:])} THEN CAST(`{k[1]}` AS DOUBLE) END, array({place[k][0]!r}D, {place[k][1]!r}D), {accuracy}) AS p{i}" for i, k in enumerate(keys)]
+        found = df.selectExpr(*names).first()
         before = dict(bounds)
-        for i, w in enumerate(todo):
-            for g in groups:
-                if (g, *w) in open_ and found[g][f"p{i}"]:
-                    low, high = found[g][f"p{i}"]
-                    bounds[g, *w] = low if place[g, *w][0] > 0 else bounds[g, *w][0], high if place[g, *w][1] < 1 else bounds[g, *w][1]
-        checked = {r[by]: r for r in df.groupBy(by).agg(*[e for i, w in enumerate(todo) for e in (
-            F.count(w[0]).alias(f"n{i}"), F.coalesce(F.sum((F.col(w[0]) < side(*w, 0)).cast("bigint")), F.lit(0)).alias(f"b{i}"),
-            F.coalesce(F.sum(inside(*w).cast("bigint")), F.lit(0)).alias(f"w{i}"))]).collect()}
+        for i, k in enumerate(keys):
+            if found[f"p{i}"]:
+                low, high = found[f"p{i}"]
+                bounds[k] = low if place[k][0] > 0 else bounds[k][0], high if place[k][1] < 1 else bounds[k][1]
+        todo = sorted({k[1:] for k in open_})
+        tests = [e for i, w in enumerate(todo) for e in (f"count(`{w[0]}`) AS n{i}", f"count_if({below(*w)}) AS b{i}", f"count_if({inside(*w)}) AS w{i}")]
+        checked = {r["_g"]: r for r in df.groupBy("_g").agg(*map(F.expr, tests)).collect()}
         left = set()
         for i, w in enumerate(todo):
-            for g in groups:
+            for g in range(len(groups)):
                 k = (g, *w)
                 if k not in open_:
                     continue
-                n, below, within = (checked[g][f"{c}{i}"] for c in "nbw")
+                n, under, within = (checked[g][f"{c}{i}"] for c in "nbw")
                 position = (n - 1) * qs[w[1]]
-                if n and not (below <= math.floor(position) and math.ceil(position) < below + within):
+                if n and not (under <= math.floor(position) and math.ceil(position) < under + within):
                     bounds[k] = before[k]  # beside the wanted rank: again with more slack
                     left.add(k)
                     continue
                 shrunk = k not in counts or within < counts[k][2]
-                counts[k] = n, below, within
+                counts[k] = n, under, within
                 low, high = bounds[k]
                 if within > bracket and (low is None or high is None or low < high) and shrunk:
                     left.add(k)
@@ -271,8 +272,9 @@ def column_quantiles(df: DataFrame, values: Sequence[str], qs: dict[str, float],
         open_ = left
 
     # values inside the intervals, counted
-    rows = F.array_compact(F.array(*[F.when(inside(*w), F.struct(F.lit(w[0]).alias("column"), F.lit(w[1]).alias("quantile"), F.col(w[0]).cast("double").alias("value"))) for w in wanted]))
-    tally = df.select(by, F.inline(rows)).groupBy(by, "column", "quantile", "value").agg(F.count(F.lit(1)).alias("_n"))
+    rows = ", ".join(f"CASE WHEN {inside(*w)} THEN named_struct('column', '{w[0]}', 'quantile', '{w[1]}', 'value', CAST(`{w[0]}` AS DOUBLE)) END" for w in wanted)
+    tally = df.selectExpr(f"`{by}`", f"inline(array_compact(array({rows})))").groupBy(by, "column", "quantile", "value").agg(F.count(F.lit(1)).alias("_n"))
+    counts = {(groups[k[0]], *k[1:]): v for k, v in counts.items()}
     known = df.sparkSession.createDataFrame([(*k, *counts[k][:2]) for k in counts], df.select(by).schema.add("column", "string").add("quantile", "string").add("_all", "long").add("_below", "long"))
     tally = tally.join(F.broadcast(known), [by, "column", "quantile"])  # a row per group, column and quantile
     up_to = Window.partitionBy(by, "column", "quantile").orderBy("value")

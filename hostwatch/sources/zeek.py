@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from hostwatch.config import ZEEK_REQUIRED
@@ -13,6 +15,9 @@ from hostwatch.functions import labels as L
 from hostwatch.operators.flows import require_columns
 
 FIELDS = "#fields"
+#: Files whose content can be damaged as a whole, and what a damaged one says.
+COMPRESSED = (".gz", ".bz2", ".zst", ".deflate", ".lz4", ".snappy")
+BROKEN = re.compile(r"EOFException[^\n]{0,100}|ZipException[^\n]{0,100}|(?:incorrect|invalid|corrupt|not a gzip|unexpected end|truncated)[^\n]{0,100}", re.IGNORECASE)
 
 
 @dataclass(frozen=True)
@@ -62,13 +67,49 @@ def leading_lines(spark: SparkSession, path: str, comment: str | None = None) ->
 
 
 def headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, tuple[str, ...]]:
-    """Field names of every file that declares them at its head."""
+    """Field names of every file that declares them at its head; a file whose head can't be read has none."""
+    def head(path: str) -> list[str]:
+        try:
+            return leading_lines(spark, path, "#")
+        except Py4JJavaError as e:
+            if not BROKEN.search(str(e)):
+                raise
+            return []
+
     with ThreadPoolExecutor(16) as pool:
-        heads = pool.map(lambda p: leading_lines(spark, p, "#"), paths)
+        heads = pool.map(head, paths)
     found = {p: next((line for line in head if line.startswith(FIELDS)), None) for p, head in zip(paths, heads)}
     return {p: tuple(line.split("\t")[1:]) for p, line in found.items() if line is not None}
 
 
+def broken_bodies(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """Compressed files that can't be read to their end, with the reason.
+
+    All files are read once, as counts of their lines.  Only where that fails, the files are divided, until each broken one is found
+    by itself; a failure that does not come from a file's content is raised.
+    """
+    found: dict[str, str] = {}
+
+    def check(some: list[str]) -> None:
+        try:
+            spark.read.option("ignoreCorruptFiles", False).text(some).agg(F.count("value")).first()
+        except Exception as e:
+            said = str(e)
+            if not BROKEN.search(said):
+                raise
+            if len(some) == 1:
+                found[some[0]] = BROKEN.search(said)[0]
+                return
+            step = -(-len(some) // 8)
+            for at in range(0, len(some), step):
+                check(some[at:at + step])
+
+    closed = [p for p in paths if p.endswith(COMPRESSED)]
+    if closed:
+        check(closed)
+    return found
+
+
 def scan(spark: SparkSession, paths: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Files of one layout, all columns as text; ``-`` is null."""
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
@@ -82,7 +123,7 @@ def read_zeek(spark: SparkSession, paths: Sequence[str], required: Sequence[str]
     group is one scan.
 
     A file without a header or required columns raises, or with ``on_error="quarantine"`` is listed in
-    ``rejected``.
+    ``rejected``; so is then a compressed file that can't be read to its end, with none of its rows among the others.
     """
     paths = expand(spark, paths)
     found = headers(spark, paths)
@@ -97,6 +138,10 @@ def read_zeek(spark: SparkSession, paths: Sequence[str], required: Sequence[str]
             rejected.append((path, f"missing required fields: {missing}"))
         else:
             groups.setdefault(fields, []).append(path)
+    if on_error == "quarantine":
+        damaged = broken_bodies(spark, [p for files in groups.values() for p in files])
+        rejected += sorted(damaged.items())
+        groups = {fields: left for fields, files in groups.items() if (left := [p for p in files if p not in damaged])}
     if rejected and on_error != "quarantine":
         raise ValueError("; ".join(f"{p}: {e}" for p, e in rejected))
     bad = spark.createDataFrame(rejected, "path string, error string")

@@ -145,3 +145,64 @@ def test_a_burst_is_spread_over_slices(spark):
     assert keyed.df.groupBy("_slice").count().agg(F.max("count")).first()[0] <= 500
     got = keyed.number("n").running_sum(s=F.col("v")).lag(p="flow_id").done()
     assert got.filter("n != flow_id + 1 OR s != n OR coalesce(p, -1) != flow_id - 1").count() == 0
+
+
+def test_one_scan_of_a_hot_key_has_a_small_plan(spark, tmp_path):
+    """Gap, session and number of a hot key: two scans and four hash exchanges at most; also when all rows fall into one second."""
+    spread = spark.range(6000).selectExpr("concat('k', CASE WHEN id % 4 = 0 THEN id % 40 ELSE 0 END) AS k", "cast(id * 37 % 6000 AS double) AS ts", "id AS flow_id", "id % 5 AS v")
+    second = spark.range(6000).selectExpr("'k0' AS k", "cast(7 + (id % 2) / 2 AS double) AS ts", "id * 7919 % 6000 AS flow_id", "id % 5 AS v")
+    for name, df in (("spread", spread), ("second", second)):
+        df.write.parquet(str(tmp_path / name))
+        df = spark.read.parquet(str(tmp_path / name))
+        skew = SkewConfig(hot_rows=1000, slice_rows=400)
+
+        def scanned(skew):
+            rows_ = KeyedRows.plan(df, ("k",), ("ts", "flow_id"), skew=skew)
+            cut = F.col("p").isNull() | (F.col("ts") - F.col("p") > 1.5)
+            return rows_, rows_.scan(lag={"p": "ts", "pv": "v"}, cut=cut, at_cut={"began": F.col("flow_id")}, cut_as="first", cut_number="no",
+                                     total={"s": F.col("v")}, last={"even": F.when(F.col("v") % 2 == 0, F.col("flow_id"))}, number="n").done()
+
+        keyed, hot = scanned(skew)
+        assert keyed.sliced and keyed.df.filter("_slice IS NOT NULL").groupBy("k", "_slice").count().agg(F.max("count"), F.count("*")).first()[0] <= 400
+        _, plain = scanned(None)
+        columns = ("k", "flow_id", "p", "pv", "began", "first", "no", "s", "even", "n")
+        assert rows(hot, *columns) == rows(plain, *columns)
+        plan = hot._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") <= 2 and plan.count("Exchange hashpartitioning") <= 4, plan
+
+
+@pytest.mark.parametrize("down", [False, True])
+def test_global_rank_over_borders_and_ties(spark, down):
+    """One score held by nine tenths of all rows stays spread; nulls and not-a-number have ranks as Spark orders them."""
+    data = [(n, 0.5 if n % 10 else n / 7.0) for n in range(4000)] + [(9000 + n, None) for n in range(3)] + [(9100 + n, float("nan")) for n in range(5)]
+    df = spark.createDataFrame(data, "id long, v double").repartition(5)
+    got = R.global_rank(df, "v", descending=down, parts=16)
+    from pyspark.sql import Window
+
+    want = df.withColumn("rank", F.rank().over(Window.orderBy(F.desc("v") if down else F.asc("v"))).cast("long"))
+    assert rows(got, "id", "rank") == rows(want, "id", "rank")
+    by_part = got.groupBy(F.spark_partition_id()).count()
+    assert by_part.agg(F.max("count")).first()[0] < 1000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    texts = df.select(F.concat(F.lit("t"), F.col("id") % 11).alias("t"))
+    assert rows(R.global_rank(texts, "t", parts=8)) == rows(texts.withColumn("rank", F.rank().over(Window.orderBy("t")).cast("long")))
+    assert R.global_rank(df.filter("id < 0"), "v").count() == 0
+
+
+@pytest.mark.parametrize("accuracy, bracket", [(10_000, 1_000_000), (20, 50)])
+def test_quantiles_of_columns(spark, accuracy, bracket):
+    """Exact quantiles of many columns at once, with rough first intervals too."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    data = {s: np.c_[rng.normal(size=n), rng.integers(0, 3, n), rng.pareto(0.3, n), np.full(n, 7.0)] for s, n in (("a", 3000), ("b", 1111))}
+    df = spark.createDataFrame([(s, *map(float, r)) for s, rows_ in data.items() for r in rows_] + [("a", None, None, None, None), ("c", None, 1.0, None, 2.0)],
+                               "side string, u double, i double, p double, c double").repartition(4)
+    qs = {"min": 0.0, "mid": 0.5, "p95": 0.95, "max": 1.0}
+    got = {(r.side, r.column, r["quantile"]): r.value for r in R.column_quantiles(df, ["u", "i", "p", "c"], qs, "side", accuracy, bracket).collect()}
+    for s, x in data.items():
+        for k, c in enumerate("uipc"):
+            for name, q in qs.items():
+                assert got[s, c, name] == pytest.approx(float(np.quantile(x[:, k], q)), rel=1e-12), (s, c, name)
+    assert got["c", "i", "mid"] == 1.0 and ("c", "u", "mid") not in got

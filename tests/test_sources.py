@@ -191,3 +191,23 @@ def test_folders_globs_and_few_branches(spark, tmp_path):
     assert len(delimited.read_flow_files(spark, [str(tmp_path / "d0"), str(tmp_path / "d[12]")])) == 2
     with pytest.raises(FileNotFoundError):
         delimited.read_delimited(spark, [str(tmp_path / "none*")])
+
+
+def test_a_truncated_file_is_set_aside(spark, tmp_path):
+    """A cut-off archive among good files: the rows of the good ones, none of its own, and one rejected path; also one cut inside its head."""
+    import gzip
+
+    paths = []
+    for n in range(12):
+        plain = write_log(tmp_path / f"d{n}" / "conn.log", [conn(100 * n + k, uid=f"C{n}-{k}") for k in range(400)])
+        data = gzip.compress(open(plain, "rb").read())
+        path = tmp_path / f"d{n}" / "conn.log.gz"
+        path.write_bytes(data[:len(data) // 2] if n == 5 else data[:12] if n == 8 else data)
+        paths.append(f"file:{path}")
+    found = zeek.read_zeek(spark, paths, on_error="quarantine")
+    assert found.rows.count() == 10 * 400 and found.rows.filter("uid LIKE 'C5-%' OR uid LIKE 'C8-%'").count() == 0
+    rejected = {r.path: r.error for r in found.rejected.collect()}
+    assert sorted(p.split("/")[-2] for p in rejected) == ["d5", "d8"]
+    with pytest.raises(Exception):
+        zeek.read_zeek(spark, paths).rows.count()
+    assert zeek.broken_bodies(spark, [p for p in paths if "/d5/" not in p and "/d8/" not in p]) == {}
