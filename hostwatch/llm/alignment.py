@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from typing import NamedTuple
 
 import numpy as np
@@ -35,7 +36,7 @@ RANGE, LONG, FAN = 1 << 14, 1 << 16, 16
 #: Links of a block of documents.
 BLOCK = 1 << 21
 #: Words that are remembered twice at most, longest of them, and tokens of a word from which on it is aligned in ranges.
-CACHED_WORDS, LONGEST_CACHED, LONG_WORD = 150_000, 64, 64
+CACHED_WORDS, LONGEST_CACHED, LONG_WORD = 200_000, 64, 64
 #: A pair of ids as one number: the first id times this plus the second.
 SECOND = 1 << 24
 
@@ -107,11 +108,8 @@ def links(a: np.ndarray, b: np.ndarray, sizes) -> np.ndarray:
     return a[np.searchsorted(ends_a, ends)] * SECOND + b[np.searchsorted(ends_b, ends)]
 
 
-class Entry(NamedTuple):
-    """A closed stretch of text: its groups as written, the pairs of its links (8 bytes each, repeats included), tokens of the first kind."""
-    closed: bytes
-    pairs: bytes
-    n_a: int
+#: A closed stretch of text: its groups as written, the pairs of its links (8 bytes each, repeats included), tokens of the first kind.
+Entry = tuple[bytes, bytes, int]
 
 
 class _Words(dict):
@@ -132,7 +130,10 @@ class _Words(dict):
 
 
 def _together_entry(entries: list) -> Entry | None:
-    return None if None in entries else Entry(b";".join([e.closed for e in entries]), b"".join([e.pairs for e in entries]), sum([e.n_a for e in entries]))
+    try:
+        return b";".join([e[0] for e in entries]), b"".join([e[1] for e in entries]), sum([e[2] for e in entries])
+    except TypeError:  # one of them has bytes that are not those of the text
+        return None
 
 
 class Tokens:
@@ -167,21 +168,22 @@ class Tokens:
 
     def _leaf(self, first: bytes, b: list[int], whole: bytes) -> Entry | None:
         """The closed fragment of a stretch that both kinds begin and end with; None where one's bytes are not those of the text."""
-        a = np.frombuffer(first, np.uint32).tolist()
+        a = array("I", first).tolist()
         if b"".join([self.second_bytes[n] for n in b]) != whole or b"".join([self.first_bytes[n] for n in a]) != whole:
             return None
         if len(a) + len(b) > LONG_WORD:
             f = whole_of(fold(fragments(self, first, np.array(b, np.int64)), self.sizes), self.sizes)
-            return Entry(f.closed, np.repeat(f.pairs, f.times).tobytes(), len(a))
-        (of_a, of_b), i, j, groups, pairs, m, n = self.lengths, 0, 0, [], [], 0, 0
+            return f.closed, np.repeat(f.pairs, f.times).tobytes(), len(a)
+        text_a, text_b, of_a, of_b = self.first_text, self.second_text, *self.lengths
+        i, j, groups, pairs, m, n = 0, 0, [], [], 0, 0
         end_a, end_b = of_a[a[0]], of_b[b[0]]
         while True:
             pairs.append(a[i] * SECOND + b[j])
             if end_a == end_b:
-                groups.append(b"%s|%s" % (b",".join([self.first_text[t] for t in a[m:i + 1]]), b",".join([self.second_text[t] for t in b[n:j + 1]])))
+                groups.append(b"%s|%s" % (text_a[a[i]] if i == m else b",".join([text_a[t] for t in a[m:i + 1]]), text_b[b[j]] if j == n else b",".join([text_b[t] for t in b[n:j + 1]])))
                 i, j = i + 1, j + 1
                 if i == len(a):
-                    return Entry(b";".join(groups), np.array(pairs, np.int64).tobytes(), len(a))
+                    return b";".join(groups), array("q", pairs).tobytes(), len(a)
                 m, n = i, j
                 end_a, end_b = end_a + of_a[a[i]], end_b + of_b[b[j]]
             elif end_a < end_b:
@@ -313,8 +315,8 @@ class _Block:
 
     def add(self, doc_id, entry: Entry | None) -> bool:
         """Whether the block is full with this document."""
-        pairs, times = _distinct(np.frombuffer(entry.pairs, np.int64) if entry else NO_IDS)
-        return self.put(doc_id, entry.closed if entry else None, entry.n_a if entry else 0, pairs, times)
+        pairs, times = _distinct(np.frombuffer(entry[1], np.int64) if entry else NO_IDS)
+        return self.put(doc_id, entry[0] if entry else None, entry[2] if entry else 0, pairs, times)
 
     def put(self, doc_id, closed: bytes | None, n_a: int, pairs: np.ndarray, times: np.ndarray) -> bool:
         written, groups, links = "", 0, int(times.sum())
@@ -398,8 +400,8 @@ def _align_parts(first: str, second: str):
         for batch in batches:
             for row, doc_id, part, text in zip(*(batch.column(n).to_pylist() for n in range(4))):
                 entry = kinds.encode(text)
-                f = Fragment(True, (NO_IDS, NO_IDS), (NO_IDS, NO_IDS), entry.closed, entry.closed.count(b";") + 1, *_distinct(np.frombuffer(entry.pairs, np.int64))) if entry else EMPTY
-                yield _batch([_open(row, doc_id, part, entry is not None, entry.n_a if entry else 0, f)], OPEN)
+                f = Fragment(True, (NO_IDS, NO_IDS), (NO_IDS, NO_IDS), entry[0], entry[0].count(b";") + 1, *_distinct(np.frombuffer(entry[1], np.int64))) if entry else EMPTY
+                yield _batch([_open(row, doc_id, part, entry is not None, entry[2] if entry else 0, f)], OPEN)
     return run
 
 

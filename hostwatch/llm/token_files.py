@@ -86,8 +86,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, block_ids
         if buffer:
             yield flush()
 
-    keys = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    blocks = docs.select("doc_id", "text").repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, _BLOCK_SQL)
+    keys = [F.col("doc_id").asc_nulls_last(), F.col("hash")]
+    blocks = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, _BLOCK_SQL)
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     spark = docs.sparkSession
     heads = spark.read.schema(_BLOCK_SQL).parquet(f"{path}/blocks").select("shard", "block", "first", "n_ids", "kind", "crc32",

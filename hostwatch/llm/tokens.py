@@ -15,8 +15,8 @@ CACHED_WORDS = 400_000
 #: Longer words are encoded each time.
 LONGEST_CACHED = 64
 
-#: A space at which a text may not be cut: it follows white space, or what might be white space.
-_UNSAFE = re.compile(r"(?<![\w!-~¡-ɏ]) ")
+#: Words behind which a text may be cut at a space: others end with white space, or what might be white space, or are empty.
+_SAFE_END = re.compile(r"[\w!-~¡-ɏ]\Z").search
 #: A piece of letters, and signs of ASCII without the apostrophe, which are a piece of their own.
 _LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 #: Lines that begin with a letter, behind no white space: the line feed is then a piece of its own.
@@ -31,16 +31,14 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Words(dict):
-    """Ids (as bytes) by word; the words of the generation before are kept until the next one is full."""
+    """Ids (as bytes) by word, None for words behind which a text may not be cut; the words of the generation before are kept until the next one is full."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode, self.old = encode, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self.encode(word)
+        ids = self.old[word] if word in self.old else self.encode(word) if _SAFE_END(word) else None
         if len(word) <= LONGEST_CACHED:
             if len(self) >= CACHED_WORDS:
                 self.old = dict(self)
@@ -85,10 +83,13 @@ class Encoder:
         return self._direct(before + word)
 
     def encode(self, text: str) -> bytes:
-        if _UNSAFE.search(text) or any(s in text for s in self.special):
-            return self._mixed(text)
-        head, *words = text.split(" ")
-        return self.first[head] + b"".join(map(self.words.__getitem__, words)) if head else self._mixed(text)
+        if not any(s in text for s in self.special):
+            head, *words = text.split(" ")
+            try:
+                return b"".join([self.first[head], *map(self.words.__getitem__, words)])
+            except TypeError:  # a word behind which the text may not be cut
+                pass
+        return self._mixed(text)
 
     def _mixed(self, text: str) -> bytes:
         """A text with spaces at which it may not be cut, or with the string of a special token."""
@@ -97,7 +98,7 @@ class Encoder:
         if any(s in text for s in self.special):
             return self._direct(text)
         head, *parts = re.split(r"(?<=[\w!-~¡-ɏ]) ", text)
-        return self._direct(head) + b"".join(map(self.words.__getitem__, parts))
+        return self._direct(head) + b"".join([self.words[p] if _SAFE_END(p) else self._spaced(p) for p in parts])
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -94,8 +94,8 @@ def check(plain, kinds, text, step):
     assert (entry is None) == (want is None)
     if want:
         groups, linked, n_a, _ = want
-        assert entry.closed.decode() == groups and entry.n_a == n_a
-        assert Counter(np.frombuffer(entry.pairs, np.int64).tolist()) == Counter(m * A.SECOND + n for m, n in linked)
+        assert entry[0].decode() == groups and entry[2] == n_a
+        assert Counter(np.frombuffer(entry[1], np.int64).tolist()) == Counter(m * A.SECOND + n for m, n in linked)
         f = A.whole_of(A.fold(ranges(plain, kinds, text, step), kinds.sizes), kinds.sizes)
         assert f.closed.decode() == groups and f.groups == groups.count(";") + 1
         assert dict(zip(f.pairs.tolist(), f.times.tolist())) == Counter(m * A.SECOND + n for m, n in linked)
