@@ -43,6 +43,14 @@ def m02(spark, sf):
     return M.binary_metrics(scored, detector.threshold, detector.budget)
 
 
+@query("m02_candidate_families")
+def m02_families(spark, sf):
+    """The validation operating point of every family, from one training run."""
+    detector, _ = ML.train_detector(fr.stored(spark, sf), min_flows=3, budget=0.03, candidates=ML.candidate_families())
+    rows = [(i, r["candidate"], r["chosen"], r["threshold"], r["recall"], r["fpr"], r["f1"], r["auc"]) for i, r in enumerate(detector.metrics["candidates"])]
+    return spark.createDataFrame(rows, "place int, candidate string, chosen boolean, threshold double, recall double, fpr double, f1 double, auc double")
+
+
 @query("m04_batch_scoring")
 def m04(spark, sf):
     data = ML.as_vectors(vectors(spark, sf), X)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -90,10 +90,21 @@ def default_candidates() -> list:
     return [LogisticRegression(labelCol="label", featuresCol="features", regParam=r, maxIter=50) for r in (0.001, 0.1)]
 
 
+def candidate_families(features: int | None = None, seed: int = 42) -> list:
+    """Candidates of several families over the same vectors: logistic models, boosted trees and a perceptron with one hidden layer."""
+    width = features or len(SS.pooled_names())
+    return [*default_candidates(), GBTClassifier(labelCol="label", featuresCol="features", maxIter=20, maxDepth=4, seed=seed),
+            MultilayerPerceptronClassifier(labelCol="label", featuresCol="features", layers=[width, 16, 2], maxIter=60, seed=seed)]
+
+
 def train_under_budget(train: DataFrame, val: DataFrame, candidates: Sequence | None = None, budget: float = FPR_BUDGET,
                        guard: float = 1.0, transforms: TR.TransformConfig = TR.TransformConfig(),
                        normalizer: DataFrame | None = None) -> Detector:
-    """Fit candidates on natural priors; keep the one with the best validation operating point within ``budget * guard``."""
+    """Fit candidates on natural priors; keep the one with the best validation operating point within ``budget * guard``.
+
+    All candidates read the same stored vectors, and each scores the validation part once.  ``metrics`` of the result holds the chosen one's metrics and,
+    as ``candidates``, the operating point of every one.
+    """
     train, val = cut(train.select("label", "features")), cut(val.select("label", "features"))
     best: Detector | None = None
     points = []
@@ -108,6 +119,8 @@ def train_under_budget(train: DataFrame, val: DataFrame, candidates: Sequence |
     frame = train.sparkSession.createDataFrame(points, "candidate string, recall double, f1 double, fpr double")
     chosen = int(M.rank_operating_points(frame).first()["candidate"])
     model, threshold, metrics = models[chosen]
+    metrics["candidates"] = [{"candidate": type(m.stages[-1]).__name__, "chosen": i == chosen, **{c: float(row[c]) for c in ("threshold", "recall", "fpr", "f1", "auc")}}
+                             for i, (m, _, row) in enumerate(models)]
     best = Detector(model, threshold, budget, transforms, normalizer, metrics)
     return best
 

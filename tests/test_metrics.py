@@ -141,6 +141,17 @@ def test_train_evaluate_save(spark, labelled, tmp_path):
         ML.evaluate_external(labelled, ML.Detector(detector.model, None))
 
 
+def test_candidates_of_several_families(labelled):
+    """Every family is fitted and scored on the same vectors; the best point is chosen, and scores rows it has not seen."""
+    detector, test = ML.train_detector(labelled, candidates=ML.candidate_families())
+    found = detector.metrics["candidates"]
+    assert [c["candidate"] for c in found] == ["LogisticRegressionModel"] * 2 + ["GBTClassificationModel", "MultilayerPerceptronClassificationModel"]
+    assert all(c["auc"] > 0.9 for c in found) and sum(c["chosen"] for c in found) == 1
+    best = max(found, key=lambda c: (round(c["recall"], 12), round(c["f1"], 12), -round(c["fpr"], 12)))
+    assert next(c for c in found if c["chosen"])["recall"] == best["recall"]
+    assert M.roc_auc(test).first().auc > 0.9 and test.count() == 30
+
+
 def test_forest(labelled):
     detector, test, table = ML.rf_baseline(labelled, trees=5, depth=4)
     assert test.count() == 40 and M.roc_auc(test).first().auc > 0.9
