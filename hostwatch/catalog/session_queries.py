@@ -139,13 +139,18 @@ def a04(spark, sf):
     return d.select("session_id", *[F.round(n, _digits(n)).alias(n) for n in SS.pooled_names() if not n.startswith(("packet_ratio", "byte_ratio"))])
 
 
+def _fine(name: str) -> int:
+    """As ``_digits``, but so that no ratio, a short fraction less a billionth, ends on a half."""
+    return {"packet_ratio_std": 8, "byte_ratio_std": 8, "packet_ratio_mean": 7}.get(name) or _digits(name)
+
+
 @query("a04_pool_limited", f"WITH {sql.limited()} SELECT session_id, " + ", ".join(
-    f"round({fn}({f}), {_digits(f + '_' + stat)}) AS {f}_{stat}" for stat, fn in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max")) for f in FEATURES)
+    f"round({fn}({f}), {_fine(f + '_' + stat)}) AS {f}_{stat}" for stat, fn in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max")) for f in FEATURES)
     + " FROM limited GROUP BY session_id")
 def a04_limited(spark, sf):
     """All 48 columns, over the feature matrix within its limits."""
     d = SS.pool_sessions(fr.limited(spark, sf))
-    return d.select("session_id", *[F.round(n, _digits(n)).alias(n) for n in SS.pooled_names()])
+    return d.select("session_id", *[F.round(n, _fine(n)).alias(n) for n in SS.pooled_names()])
 
 
 @query("a05_class_counts", f"""WITH {sql.SUMMARIES} SELECT dest_id, count(*) AS total, CAST(sum(label) AS BIGINT) AS c2, CAST(count(*) - sum(label) AS BIGINT) AS benign,
