@@ -20,7 +20,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest ``doc_id`` of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+    """The document of smallest ``doc_id`` of each group of near-duplicates: candidates by SimHash links and MinHash bands over five-word
+    shingles, of which a similarity of 0.8 or more decides.
 
     Of rows that share a ``doc_id`` one is kept; rows without one are not told apart and go.
     """

@@ -1,6 +1,7 @@
-"""Near-duplicates by word shingles: MinHash bands propose groups, exact Jaccard similarity decides.
+"""Near-duplicates by word shingles: SimHash links and MinHash bands propose groups, exact Jaccard similarity decides.
 
-Texts that share the least hashes of one of ``BANDS`` bands are candidates; candidate groups are found first, so that a set of
+Texts whose SimHash fingerprints the index of :mod:`simhash` links are candidates, and those that share the least hashes of one of ``BANDS``
+bands, as similar short texts often differ in more than a few bits.  Candidate groups are found first, so that a set of
 shingles is only built again for texts that have a candidate and goes to one place, or for a group above ``GROUP`` texts to one place
 per other part of the group.  There every two texts that are not joined yet are compared on their whole sets.
 """
@@ -13,9 +14,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hostwatch.llm import simhash
 from hostwatch.llm.common import components, cut
 
 WORDS, LEAST = 5, 0.8
+#: Bits of two fingerprints that may differ.
+MOST = 4
 #: Of two texts of similarity 0.8, all bands differ once in 37,000 (0.59 ** 20); 0.9: once in 8e9.
 BANDS, ROWS = 20, 4
 #: Texts of a group that are compared in one place.
@@ -54,8 +58,9 @@ def bands(own: np.ndarray) -> list[int]:
 def _marked(batches):
     for batch in batches:
         sets = [shingles(t.as_py()) for t in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_number(s) for s in sets], pa.int64()),
-                                          pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "content", "number", "buckets"])
+        fps = np.array([simhash.fingerprint(t.as_py(), WORDS) for t in batch.column(2)], np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([_number(s) for s in sets], pa.int64()), pa.array(fps.view(np.int64)),
+                                          pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "content", "number", "fp", "buckets"])
 
 
 def _sets(batches):
@@ -105,6 +110,15 @@ def _links(batches):
     yield done()
 
 
+def linked_fingerprints(marked: DataFrame) -> DataFrame:
+    """Edges (a, b) between the numbers of texts (number, fp) whose fingerprints :func:`simhash.links` joins, or are equal."""
+    texts = cut(marked.select("number", "fp").distinct())
+    found = components(simhash.links(texts.select("fp").distinct(), MOST))
+    near = cut(texts.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("number", F.coalesce("component", "fp").alias("group")))
+    least = near.groupBy("group").agg(F.min("number").alias("a"))
+    return near.join(least, "group").select("a", F.col("number").alias("b")).where("a != b").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, component_id`` for every row of ``docs`` (doc_id, text): texts whose sets of shingles of WORDS words have a
     Jaccard similarity of LEAST or more are linked, chains of links are one component, named by its smallest ``doc_id``.
@@ -113,11 +127,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null ``component_id``.
     """
     content = F.xxhash64(F.coalesce("text", F.lit("")))
-    marked = cut(docs.select("doc_id", content.alias("content"), "text").mapInArrow(_marked, "doc_id long, content long, number long, buckets array<long>"))
+    marked = cut(docs.select("doc_id", content.alias("content"), "text").mapInArrow(_marked, "doc_id long, content long, number long, fp long, buckets array<long>"))
     distinct = cut(marked.groupBy("number").agg(F.min("doc_id").alias("first"), F.min("content").alias("content"), F.first("buckets").alias("buckets")))
     rows = distinct.select("number", F.explode("buckets").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("number").alias("a"), F.max("number").alias("b")).where("a != b").select("bucket", "a")
-    groups = cut(components(rows.join(shared, "bucket").select("a", F.col("number").alias("b")).where("a != b")))
+    banded = rows.join(shared, "bucket").select("a", F.col("number").alias("b")).where("a != b")
+    groups = cut(components(linked_fingerprints(marked.where(F.size("buckets") > 0)).unionByName(banded)))
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     dealt = (groups.join(sizes, "component").withColumn("own", part)

@@ -2,6 +2,7 @@
 
 import corpus_pipeline as pipeline
 import numpy as np
+import pyarrow as pa
 from conftest import SMALL
 
 from hostwatch.llm import shingles
@@ -52,3 +53,26 @@ def test_table_and_odd_rows(spark):
     for (doc, _), g in zip(rows, of):
         least[g] = min((x for x in (doc, least.get(g)) if x is not None), default=None)
     assert sorted(map(tuple, got), key=str) == sorted(((doc, least[g]) for (doc, _), g in zip(rows, of)), key=str)
+
+
+def test_fingerprints_propose_and_similarity_decides(spark, monkeypatch):
+    """The stage goes through SimHash: without any band, what fingerprints link is found, and unlike texts of one fingerprint stay."""
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in rng.integers(0, 400, 2000)]
+    whole = " ".join(words)
+    near = next(t for t in (edited(rng, words, c) for c in range(3, 40)) if 0 < (shingles.simhash.fingerprint(whole, 5) ^ shingles.simhash.fingerprint(t, 5)).bit_count() <= 4)
+    assert jaccard(whole, near) >= 0.8
+    texts = [whole, near, " ".join(f"v{k}" for k in rng.integers(0, 400, 2000)), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    marked = shingles._marked
+
+    def without_bands(batches):
+        for batch in marked(batches):
+            own = pa.array([[n] if b else [] for n, b in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist())], pa.list_(pa.int64()))
+            fps = pa.array([0] * batch.num_rows, pa.int64()) if one else batch.column(3)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], fps, own], names=batch.schema.names)
+
+    monkeypatch.setattr(shingles, "_marked", without_bands)
+    for one in (False, True):  # no text shares a bucket; then all texts have one fingerprint
+        got = {r.doc_id: r.component_id for r in shingles.near_duplicates(docs).collect()}
+        assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
