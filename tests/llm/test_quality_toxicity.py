@@ -76,6 +76,57 @@ def test_quality_rejects_repetition_and_cuts_at_unseen_quantiles(spark):
     assert np.mean([k for k, q in held if q == 1]) > 0.97 and np.mean([not k for k, q in held if q == 0]) > 0.95
 
 
+def plain_costs(texts):
+    """Interpolated modified Kneser-Ney over n-grams of whole characters; returns the cost of an n-gram."""
+    order, base = quality.ORDER, Counter()
+    for t in texts:
+        s = "\0" * (order - 1) + t
+        base.update(s[i:i + order] for i in range(len(t)))
+    counts = {order: base}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    of = {n: Counter(c.values()) for n, c in counts.items()}
+    d = {n: quality.discounts(*[of[n][k] for k in (1, 2, 3, 4)]) for n in counts}
+
+    def p(g):
+        if not g:
+            return 1 / 0x110000
+        n = len(g)
+        seen = {h: k for h, k in counts[n].items() if h[:-1] == g[:-1]}
+        if not seen:
+            return p(g[1:])
+        off = {h: d[n][min(k, 3) - 1] for h, k in seen.items()}
+        return (seen.get(g, 0) - off.get(g, 0) + sum(off.values()) * p(g[1:])) / sum(seen.values())
+    return lambda g: -math.log(p(g))
+
+
+def test_costs_are_kneser_ney_over_whole_characters(spark, monkeypatch):
+    monkeypatch.setattr(quality, "CHUNK", 100)  # several blocks
+    texts = ["the cat sat on the mat " * 3, "The dog!! sat 17 times", "", "été à la mode | x\0y", "中文文本很好中文文本", "the the the cat 99", None, "😀 zebra 중 ~~ QQ 42", "x"] * 3
+    docs = spark.createDataFrame([(n, t, "en") for n, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    good = docs.where("doc_id % 9 < 6").select("doc_id")
+    fold = (docs.doc_id % 2).cast("long")
+    rows = {r.doc_id: r for r in quality._raw(docs, good, fold).collect()}
+    models = [plain_costs([t for n, t in enumerate(texts) if n % 9 < 6 and t and (m == 2 or n % 2 != m)]) for m in range(3)]
+    assert len(rows) == len(texts)
+    for n, t in enumerate(texts):
+        s = "\0" * (quality.ORDER - 1) + (t or "")
+        grams = [s[i:i + quality.ORDER] for i in range(len(t or ""))]
+        assert rows[n].symbols == len(grams)
+        for got, m in ((rows[n].total, 2), (rows[n].unseen, n % 2)):
+            assert abs(got - sum(map(models[m], grams))) < 1e-3 * max(1, len(grams))
+
+
+def test_characters_of_any_script_are_told_apart(spark):
+    """Characters above U+3000, digits and capitals shared classes, so that texts of other characters cost the same."""
+    usual, other = "今天天气很好我们去公园散步", "龘靐齉齾爩麤灪龗籱吁驫鱻癵"
+    docs = [(n, usual * 5, "zh") for n in range(40)] + [(100, usual * 4, "zh"), (101, other * 4, "zh")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(n, 1) for n in range(40)], "doc_id long, quality int")
+    rows = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    assert rows[100].keep and not rows[101].keep and rows[101].perplexity > 10 * rows[100].perplexity
+
+
 ODD = [(1, "fine text of the usual kind", "en"), (2, None, "en"), (3, "", None), (4, "x" * 500_000 + " end", "de"), (None, "fine text", "en"), (5, "fine text of the usual kind", None), (5, "fine text of the usual kind", None), (6, "😀😀 中文", "zz")]
 SCHEMA = "doc_id long, text string, lang string, cost double, mean double, limit double, total double, terms string, toxic int, score double"
 
