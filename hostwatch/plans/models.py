@@ -127,8 +127,11 @@ def train_under_budget(train: DataFrame, val: DataFrame, candidates: Sequence |
 
 def train_detector(sessions: DataFrame, cfg: TR.TransformConfig = TR.TransformConfig(), min_flows: int = 5, budget: float = FPR_BUDGET,
                    guard: float = 1.0, candidates: Sequence | None = None, seed: int = 42) -> tuple[Detector, DataFrame]:
-    """Split, transform, normalise, fit and select; also the scores of the untouched test part."""
-    frames, stats = TR.prepare(sessions, cfg, min_flows, seed)
+    """Split, transform, normalise, fit and select; also the scores of the untouched test part.
+
+    Counting, splitting and normalising read the sessions again and again, so they are built once and stored.
+    """
+    frames, stats = TR.prepare(cut(SS.min_flows(sessions, min_flows)), cfg, min_flows, seed)
     vectors = cut(as_vectors(frames).select("sample_id", "label", "split", "features"))
     part = {s: vectors.filter(F.col("split") == s) for s in ("train", "val", "test")}
     detector = train_under_budget(part["train"], part["val"], candidates, budget, guard, cfg, stats)

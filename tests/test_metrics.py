@@ -141,6 +141,21 @@ def test_train_evaluate_save(spark, labelled, tmp_path):
         ML.evaluate_external(labelled, ML.Detector(detector.model, None))
 
 
+def test_sessions_are_built_once_for_training(spark, labelled):
+    """Counts, split, normaliser and vectors all read the sessions; what gives them runs once."""
+    built = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            built.add(batch.num_rows)
+            yield batch
+
+    small = labelled.select("sample_id", "label", "n_flows", "flows")
+    detector, test = ML.train_detector(small.mapInArrow(counted, small.schema), candidates=fast())
+    assert test.count() == 30 and detector.metrics["recall"] > 0.9
+    assert built.value == 200
+
+
 def test_candidates_of_several_families(labelled):
     """Every family is fitted and scored on the same vectors; the best point is chosen, and scores rows it has not seen."""
     detector, test = ML.train_detector(labelled, candidates=ML.candidate_families())
