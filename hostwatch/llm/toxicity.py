@@ -1,10 +1,10 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, weighted votes, calibrated.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over an inverted index, weighted votes, calibrated.
 
 Terms are words and their beginnings; those that go with the label in the training rows (chi-square) are the vocabulary.
 Every document becomes a short vector of vocabulary terms.  Examples are training rows with such a vector; the index holds
-their postings and, per term and block of examples, the largest weight.  A query takes blocks in order of their bound and
-stops when no bound can reach its k-th neighbour.  Votes weighted by distance are mapped to rates seen on the examples themselves, each
-scored without its own vote.
+their postings, those of frequent terms as rows of a dense matrix.  Queries are taken together: products in single precision and the
+postings of rarer terms leave the few examples that can be neighbours, whose cosines are then summed up exactly.  Votes weighted by
+distance are mapped to rates seen on the examples themselves, each scored without its own vote.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ from hostwatch.llm.common import stored
 EXAMPLES, TERMS, NEIGHBOURS = 20_000, 4096, 15
 #: Least chi-square and least number of positive rows of a term.
 CHI_SQUARE, LEAST = 40.0, 5
-#: Examples of a block, beginnings of words that are terms, bins of the calibration, words a task counts before it passes counts on.
-BLOCK, BEGINNINGS, BINS, COUNTED = 128, (4, 5), 20, 400_000
-#: Blocks that are looked at before any is left out.
-FIRST_BLOCKS = 8
+#: Beginnings of words that are terms, bins of the calibration, words a task counts before it passes counts on.
+BEGINNINGS, BINS, COUNTED = (4, 5), 20, 400_000
+#: Terms that are held as dense rows at most, the share of examples that makes a term one of them, queries that are taken together.
+DENSE, FREQUENT, TOGETHER = 512, 0.01, 64
+#: Every so manieth example gives a first limit; more than what single precision is off by, for cosines.
+EVERY, ROUNDING = 16, 1e-4
 THRESHOLD = 0.3
 
 _WORDS = re.compile(r"\w+")
@@ -110,59 +112,76 @@ def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
 
 
 class Index:
-    """Postings of examples by term in blocks, with the largest weight of every term and block."""
+    """Examples by term and terms by example; the terms that most examples have are rows of a dense matrix too."""
 
     def __init__(self, terms: list[np.ndarray], weights: list[np.ndarray], toxic: np.ndarray, ids: np.ndarray, idf: np.ndarray):
         self.toxic, self.ids, self.idf, n = toxic, ids, idf, len(terms)
-        example = np.repeat(np.arange(n), [len(t) for t in terms])
+        sizes = np.array([len(t) for t in terms], np.int64)
+        self.own = np.r_[0, np.cumsum(sizes)]  # where the terms of each example begin
+        example = np.repeat(np.arange(n), sizes)
         term, weight = (np.concatenate(x) if n else np.zeros(0) for x in (terms, weights))
-        term = term.astype(np.int64)
-        self.blocks = -(-n // BLOCK)
-        order = np.lexsort((example, term))
+        self.term, self.own_weight = term.astype(np.int64), weight
+        held = np.bincount(self.term, minlength=len(idf))
+        frequent = np.argsort(-held, kind="stable")[:DENSE]
+        frequent = frequent[held[frequent] > FREQUENT * n]
+        self.row = np.full(len(idf), -1)  # of the dense matrix
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), n), np.float32)
+        at = self.row[self.term]
+        self.dense[at[at >= 0], example[at >= 0]] = weight[at >= 0]
+        order = np.argsort(self.term, kind="stable")
         self.example, self.weight = example[order], weight[order]
-        key = term[order] * self.blocks + self.example // BLOCK
-        self.most = np.zeros((len(idf), self.blocks))
-        np.maximum.at(self.most.reshape(-1), key, self.weight)
-        self.begin = np.searchsorted(key, np.arange(len(idf) * self.blocks + 1))
+        self.begin = np.r_[0, np.cumsum(held)]
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
         return w / np.sqrt((w * w).sum())
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine above zero, exactly; ties go to the earlier example.
-
-        The blocks of the highest bounds come first; then some more, and then all others, whose bound reaches the k-th cosine found.
-        """
-        bound = weights @ self.most[terms]
-        order = np.argsort(-bound, kind="stable")
-        found, value, least, at = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
-        for last in (FIRST_BLOCKS, 4 * FIRST_BLOCKS, self.blocks):
-            wave = order[at:last]
-            wave = wave[(bound[wave] > 0) & (bound[wave] >= least)]
-            at = last
-            if not wave.size:
-                break
-            place, counts = self._postings(terms, wave)
-            given = np.repeat(weights, counts)
-            scores = np.bincount(self.example[place], given * self.weight[place], len(self.ids))
-            if without >= 0:
-                scores[without] = 0
-            hit = np.flatnonzero(scores)
-            if len(hit) > k:  # ties with the k-th stay for the final order
-                hit = hit[scores[hit] >= np.partition(scores[hit], -k)[-k]]
-            found, value = np.r_[found, hit], np.r_[value, scores[hit]]
-            best = np.lexsort((found, -value))[:k]
-            found, value = found[best], value[best]
-            least = value[-1] if len(value) == k else 0.0
-        return found, value
-
-    def _postings(self, terms: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of all postings of the terms in the blocks, term by term, and how many each term has."""
-        keys = terms[:, None] * self.blocks + blocks[None]
-        begin, size = self.begin[keys], self.begin[keys + 1] - self.begin[keys]
-        flat, ends = size.ravel(), np.cumsum(size.ravel())
-        return np.arange(ends[-1]) - np.repeat(ends - flat, flat) + np.repeat(begin.ravel(), flat), size.sum(axis=1)
+        """The k examples of highest cosine above zero, exactly; ties go to the earlier example."""
+        return next(self.nearest_of([(terms, weights)], k, [without]))
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None):
+        """:meth:`nearest` of every query (terms, weights)."""
+        for first in range(0, len(queries), TOGETHER):
+            some = queries[first:first + TOGETHER]
+            wanted = np.zeros((len(some), len(self.dense)), np.float32)
+            for q, (terms, weights) in enumerate(some):
+                frequent = self.row[terms] >= 0
+                wanted[q, self.row[terms[frequent]]] = weights[frequent]
+            for q, (scores, (terms, weights)) in enumerate(zip(wanted @ self.dense, some)):
+                self._add_rare(scores, terms, weights)
+                yield self._best(scores, terms, weights, k, without[first + q] if without else -1)
+
+    def _add_rare(self, scores: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+        """Add what the terms without a dense row give."""
+        rare = (self.row[terms] < 0) & (self.begin[terms + 1] > self.begin[terms])
+        parts = [(slice(self.begin[t], self.begin[t + 1]), w) for t, w in zip(terms[rare].tolist(), weights[rare].tolist())]
+        if parts:
+            scores += np.bincount(np.concatenate([self.example[at] for at, _ in parts]), np.concatenate([self.weight[at] * w for at, w in parts]), len(scores))
+
+    def _best(self, scores: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest, given all cosines but for ROUNDING."""
+        if without >= 0:
+            scores[without] = 0
+        few = scores[::EVERY]
+        least = np.partition(few, -k)[-k] if len(few) >= k else 0.0
+        hit = np.flatnonzero(scores >= least - ROUNDING) if least > ROUNDING else np.flatnonzero(scores)
+        if len(hit) > k:
+            hit = hit[scores[hit] >= np.partition(scores[hit], -k)[-k] - ROUNDING]
+        value = self._cosines(hit, terms, weights)
+        best = np.lexsort((hit, -value))[:k]
+        best = best[value[best] > 0]
+        return hit[best], value[best]
+
+    def _cosines(self, examples: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Cosines of some examples in double precision, summed up in order of the terms."""
+        query = np.zeros(len(self.idf))
+        query[terms] = weights
+        sizes = self.own[examples + 1] - self.own[examples]
+        ends = np.cumsum(sizes)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.own[examples] - ends + sizes, sizes)
+        return np.bincount(np.repeat(np.arange(len(examples)), sizes), query[self.term[place]] * self.own_weight[place], len(examples))
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         weight = 1 / (1.02 - np.minimum(cosine, 1))
@@ -196,14 +215,25 @@ def _index(shared, name: str) -> Index:
     return _INDEXES[0][1]
 
 
+def _rows_with(batches):
+    """Rows of each term from rows (terms): one per term and task."""
+    counts = np.zeros(0, np.int64)
+    for batch in batches:
+        here = np.bincount(batch.column(0).flatten().to_numpy(), minlength=len(counts))
+        here[:len(counts)] += counts
+        counts = here
+    seen = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(counts[seen], pa.int64())], names=["term", "n"])
+
+
 def _own_votes(shared, name: str):
     """The vote on each example (column 0: its number) without its own."""
     def run(batches):
         for batch in batches:
             index = _index(shared, name)
             terms, counts = index.vectors
-            numbers = batch.column(0).to_numpy()
-            votes = [index.vote(*index.nearest(terms[k], index.unit(terms[k], counts[k]), NEIGHBOURS, k)) for k in numbers.tolist()]
+            numbers = batch.column(0).to_numpy().tolist()
+            votes = [index.vote(*near) for near in index.nearest_of([(terms[k], index.unit(terms[k], counts[k])) for k in numbers], NEIGHBOURS, numbers)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.float64())], names=["k", "vote"])
     return run
 
@@ -229,7 +259,7 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: i
     words = vocabulary(train, rows[0], rows[1] - rows[0], terms)
     found = stored(vectors(docs, words))
     n = found.count()
-    seen = {r.term: r.n for r in found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row per vocabulary term
+    seen = {r.term: r.n for r in found.select("terms").mapInArrow(_rows_with, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row per vocabulary term
     idf = np.array([np.log((1 + n) / (1 + seen.get(k, 0))) + 1 for k in range(len(words))])
     mine = stored(found.join(known, "doc_id"))
     filled = F.size("terms") > 0
@@ -244,22 +274,23 @@ def score(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: i
         own = spark.range(0, chosen.num_rows, 1, max(1, chosen.num_rows // 500)).mapInArrow(_own_votes(shared, name), "k long, vote double").toArrow()  # a row per example
         rates = calibration(own.column("vote").to_numpy(), columns[3][own.column("k").to_numpy()])
 
-    def answer(index: Index, t: list, c: list) -> tuple[float, list]:
-        terms = np.array(t)
-        hits, cosine = index.nearest(terms, index.unit(terms, np.array(c)), NEIGHBOURS)
+    def answer(index: Index, hits: np.ndarray, cosine: np.ndarray) -> tuple[float, list]:
         if not len(hits):
             return float(empty), []
         near = [{"doc_id": int(index.ids[h]), "cosine": float(v), "toxic": int(index.toxic[h])} for h, v in zip(hits[:3], cosine)]
         return float(np.interp(index.vote(hits, cosine), *rates)), near
 
     def run(batches):
+        kinds = pa.float64(), pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
         for batch in batches:
-            out = []
-            for t, c in zip(*(batch.column(k).to_pylist() for k in range(2))):
-                value, near = answer(_index(shared, name), t, c) if rates is not None else (float(empty), [])
-                out.append({"terms": t, "counts": c, "score": min(max(value, 0.0), 1.0), "neighbours": near})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("score", pa.float64()), (
-                "neighbours", pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))]))
+            found = [(float(empty), [])] * batch.num_rows
+            if rates is not None:
+                index = _index(shared, name)
+                rows = [(np.array(t), np.array(c)) for t, c in zip(*(batch.column(k).to_pylist() for k in range(2)))]
+                found = [answer(index, *near) for near in index.nearest_of([(t, index.unit(t, c)) for t, c in rows], NEIGHBOURS)]
+            scores = [min(max(value, 0.0), 1.0) for value, _ in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, kinds[0]), pa.array([near for _, near in found], kinds[1])],
+                                             names=["terms", "counts", "score", "neighbours"])
 
     # equal vectors have equal scores, so each is searched once
     distinct = found.where(filled).select("terms", "counts").distinct().repartition("terms", "counts")

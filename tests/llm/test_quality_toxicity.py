@@ -182,6 +182,34 @@ def test_nearest_is_exact():
         assert np.allclose(cosine, want[best][want[best] > 0]) and np.allclose(want[found], cosine)
 
 
+def test_nearest_of_many_is_exact(monkeypatch):
+    """Queries in batches, with and without dense rows, give what the plain sum over terms gives, ties by the earlier example."""
+    rng = np.random.default_rng(3)
+    idf = rng.uniform(1, 8, 300)
+    terms = [np.unique(rng.zipf(1.3, rng.integers(1, 40)) % 300) for _ in range(700)] * 2  # every example twice
+    blank = toxicity.Index([], [], np.zeros(0), np.zeros(0), idf)
+    weights = [blank.unit(t, np.ones(len(t))) for t in terms]
+    dense = np.zeros((1400, 300))
+    for k, (t, w) in enumerate(zip(terms, weights)):
+        dense[k, t] = w
+    numbers = list(range(0, 1400, 9))
+    for rows in (toxicity.DENSE, 0, 20):
+        monkeypatch.setattr(toxicity, "DENSE", rows)
+        index = toxicity.Index(terms, weights, np.zeros(1400, int), np.arange(1400), idf)
+        for q, (found, cosine) in zip(numbers, index.nearest_of([(terms[n], weights[n]) for n in numbers], 15, numbers), strict=True):
+            want = dense @ dense[q]
+            want[q] = 0
+            best = np.lexsort((np.arange(1400), -np.round(want, 12)))[:15]
+            best = best[want[best] > 0]
+            assert found.tolist() == best.tolist() and np.allclose(cosine, want[best], atol=1e-12, rtol=0)
+
+
+def test_terms_are_counted_by_task(spark):
+    """A task passes on a row per term, not one per document and term."""
+    rows = spark.createDataFrame([([1, 2, 5],)] * 300 + [([2],)] * 100 + [([],)], "terms array<int>").repartition(3).mapInArrow(toxicity._rows_with, "term long, n long").collect()
+    assert len(rows) <= 9 and {t: sum(r.n for r in rows if r.term == t) for t in (1, 2, 5)} == {1: 300, 2: 400, 5: 300}
+
+
 def test_calibration_never_falls():
     rng = np.random.default_rng(4)
     votes = rng.uniform(size=500)
