@@ -84,23 +84,23 @@ def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
     places = {t: k for k, t in enumerate(terms) if t[0] != "^"}
     begins = [(n, {t[1:]: k for k, t in enumerate(terms) if t[0] == "^" and len(t) == n + 1}) for n in BEGINNINGS]
 
+    def terms_of(word: str) -> list[int]:
+        return ([places[word]] if word in places else []) + [known[word[:m]] for m, known in begins if len(word) > m and word[:m] in known]
+
     def run(batches):
-        n = min(BEGINNINGS)
-        starts = {t[:n] for _, known in begins for t in known}
+        met: dict[str, list[int]] = {}
         for batch in batches:
             numbers, counts, ends = [], [], [0]
             for text in batch.column(1):
-                words = words_of(text.as_py())
-                hits = [w for w in set(words) if w in places or w[:n] in starts]
-                own: Counter = Counter()
-                of = Counter(words) if len(hits) > 8 else None
-                for w in hits:
-                    times = of[w] if of else words.count(w)
-                    if w in places:
-                        own[places[w]] += times
-                    for m, known in begins:
-                        if len(w) > m and w[:m] in known:
-                            own[known[w[:m]]] += times
+                own: dict[int, int] = {}
+                if len(met) > COUNTED:
+                    met.clear()
+                for w, times in Counter(words_of(text.as_py())).items():
+                    found = met.get(w)
+                    if found is None:
+                        found = met[w] = terms_of(w)
+                    for k in found:
+                        own[k] = own.get(k, 0) + times
                 for k in sorted(own):
                     numbers.append(k)
                     counts.append(own[k])
