@@ -188,6 +188,46 @@ def test_forest_scores_alike_after_saving(spark, labelled, tmp_path):
     assert again.threshold == detector.threshold
 
 
+@pytest.fixture(scope="module")
+def many(spark):
+    """More rows than one fit of the forest takes at once."""
+    rnd = random.Random(3)
+    data = [(f"s{i:05d}", i % 2, rnd.gauss(i % 2, 1), rnd.gauss(0, 1), rnd.gauss(i % 2, 2)) for i in range(6400)]
+    return spark.createDataFrame(data, "sample_id string, label int, a double, b double, c double").cache()
+
+
+def test_large_forest_does_not_depend_on_the_layout(many):
+    """Many partitions don't multiply the work of a fit, and the same rows give the same scores however they are dealt."""
+    found = []
+    for df in (many.coalesce(1), many.repartition(7)):
+        detector, test, _ = ML.rf_baseline(df, ["a", "b", "c"], trees=12, depth=3)
+        found.append((detector.threshold, {r.sample_id: r.score for r in test.collect()}))
+        assert [f.getNumTrees for f in detector.model.stages if hasattr(f, "getNumTrees")] == [5, 5, 2]
+        assert test.count() == 1280 and M.roc_auc(test).first().auc > 0.7
+    (t, x), (u, y) = found
+    assert t == u and x == y
+
+
+def test_large_forest_is_the_mean_of_its_trees(spark, many, tmp_path, monkeypatch):
+    monkeypatch.setattr(ML, "NODES_PER_STAGE", 60)  # two stages of forests
+    detector, test, table = ML.rf_baseline(many, ["a", "b", "c"], trees=12, depth=3)
+    grown = [t for f in detector.model.stages if hasattr(f, "getNumTrees") for t in f.trees]
+    assert len(grown) == 12 and sum(type(s) is ML.Votes for s in detector.model.stages) == 2
+    for i, r in enumerate(sorted(table.collect(), key=lambda r: r.feature)):
+        assert r.importance == pytest.approx(sum(t.featureImportances[i] for t in grown) / 12)
+    want = {r.sample_id: r.score for r in test.collect()}
+    vectors = ML.as_vectors(many, ["a", "b", "c"])
+    rows = detector.model.stages[0].transform(vectors).select("sample_id", "scaled").limit(400).collect()
+    seen = [r for r in rows if r.sample_id in want][:3]
+    assert seen
+    for r in seen:
+        assert want[r.sample_id] == pytest.approx(sum(t.predictProbability(r.scaled)[1] for t in grown) / 12)
+    save_model(detector.model, detector.operating_point(), str(tmp_path / "large"))
+    again = ML.detector_from(*load_model(spark, str(tmp_path / "large")))
+    got = {r.sample_id: r.score for r in ML.score(vectors, again.model).collect() if r.sample_id in want}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_ablation(labelled):
     df = ML.ablation(labelled, labelled, {"baseline": (), "drop": ("orig_bytes",)}, candidates=fast(), budget=0.05)
     got = {(r.variant, r.dataset): r for r in df.collect()}
